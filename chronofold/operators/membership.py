@@ -1,0 +1,209 @@
+"""Has this key been seen before? Sealed partitions of minimal perfect hashes with fingerprints."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.ids import norm_id
+from ..workspace import materialize
+
+#: Put numbers are split into so many batches; a batch is sealed once the next begins.
+BATCHES = 8
+#: Bits of a key's fingerprint. A lookup of a new key in one sealed partition is wrong in one of 2^BITS cases.
+BITS = 16
+#: Bits of a level's array for each key still without a slot.
+SPREAD = 2.0
+
+
+def _mix(h: np.ndarray, seed: int) -> np.ndarray:
+    """A further hash of 64-bit hashes: two rounds of multiply and shift."""
+    x = h ^ np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Sealed:
+    """Minimal perfect hash of a set of 64-bit hashes plus a fingerprint in each slot; the keys aren't kept.
+
+    Level by level, every key without a slot sets a bit of an array; bits that just one key sets are slots,
+    numbered by their rank, and the other keys go on to the next level. The fingerprint is taken from a
+    second, independent hash; the few keys that share a first hash with another are kept whole.
+    """
+
+    def __init__(self, h: np.ndarray, second: np.ndarray, bits: int = BITS) -> None:
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.mask = np.uint64((1 << bits) - 1)
+        _, one = np.unique(h, return_index=True)
+        rest = np.ones(len(h), bool)
+        rest[one] = False
+        self.whole = set(zip(h[rest].tolist(), second[rest].tolist()))
+        h, second = h[one], second[one]
+        base, left = 0, h
+        while len(left):
+            m = max(64, int(len(left) * SPREAD) + 63 & ~63)
+            at = (_mix(left, len(self.levels)) % np.uint64(m)).astype(np.int64)
+            once = np.bincount(at, minlength=m) == 1
+            words = np.packbits(once, bitorder="little").view(np.uint64)
+            rank = base + np.concatenate(([0], np.cumsum(np.bitwise_count(words))[:-1])).astype(np.int64)
+            self.levels.append((m, words, rank))
+            base, left = base + int(once.sum()), left[~once[at]]
+        self.size = base
+        self.prints = np.zeros(base, np.uint32 if bits > 16 else np.uint16)
+        self.prints[self.slots(h)] = (second & self.mask).astype(self.prints.dtype)
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for those that certainly aren't in the set."""
+        out, todo = np.full(len(h), -1, np.int64), np.arange(len(h))
+        for k, (m, words, rank) in enumerate(self.levels):
+            if not len(todo):
+                break
+            at = (_mix(h[todo], k) % np.uint64(m)).astype(np.int64)
+            word, bit = words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)) == 1
+            below = word & ((np.uint64(1) << bit) - np.uint64(1))
+            out[todo[hit]] = rank[at[hit] >> 6] + np.bitwise_count(below[hit])
+            todo = todo[~hit]
+        return out
+
+    def seen(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
+        slot = self.slots(h)
+        found = slot >= 0
+        found[found] = self.prints[slot[found]] == (second[found] & self.mask).astype(self.prints.dtype)
+        if self.whole:
+            found |= np.fromiter((k in self.whole for k in zip(h.tolist(), second.tolist())), bool, len(h))
+        return found
+
+    @property
+    def nbytes(self) -> int:
+        return self.prints.nbytes + sum(w.nbytes + r.nbytes for _, w, r in self.levels)
+
+
+def _first_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mark the rows of an Arrow block that repeat a key of their batch; a hot key then leaves one row a block."""
+    for t in batches:
+        order = np.lexsort((t["put_seq"].to_numpy(), t["batch"].to_numpy(), t["h2"].to_numpy(), t["h1"].to_numpy()))
+        t = t.iloc[order]
+        a = t[["h1", "h2", "batch"]].to_numpy()
+        again = np.zeros(len(t), bool)
+        again[1:] = (a[1:] == a[:-1]).all(axis=1)
+        yield t.assign(again=again)
+
+
+def _stream(bits: int):
+    """Walk a partition's rows batch by batch against the sealed ones before; memory holds one batch of keys."""
+
+    def decide(t: pd.DataFrame, sealed: list[Sealed]) -> pd.DataFrame:
+        # exact within the batch: rows of equal (h1, h2) after the first are repeats
+        t = t.sort_values(["h1", "h2", "put_seq"], ignore_index=True)
+        h1, h2 = t["h1"].to_numpy(), t["h2"].to_numpy()
+        again = np.zeros(len(t), bool)
+        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        a, b = h1.view(np.uint64)[~again], h2.view(np.uint64)[~again]
+        hits = np.zeros(len(a), np.int16)
+        for s in sealed:
+            hits += s.seen(a, b)
+        sealed.append(Sealed(a, b, bits))
+        full = np.zeros(len(t), np.int16)
+        full[~again] = hits
+        rows = pd.DataFrame({"put_seq": t["put_seq"], "again": again, "hits": full, "lookups": np.where(again, 0, len(sealed) - 1)})
+        return rows[t["batch"].to_numpy() >= 0]  # batch -1 holds what was stored before everything
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sealed: list[Sealed] = []
+        held: list[pd.DataFrame] = []
+        for t in batches:
+            passed = t["again"].to_numpy()
+            if passed.any():  # repeats found before the shuffle only pass through
+                p = t[passed]
+                yield pd.DataFrame({"put_seq": p["put_seq"], "again": True, "hits": 0, "lookups": 0})
+                t = t[~passed]
+            for number, rows in t.groupby("batch", sort=True):
+                if held and held[0]["batch"].iat[0] != number:
+                    yield decide(pd.concat(held, ignore_index=True), sealed)
+                    held = []
+                held.append(rows)
+        if held:
+            yield decide(pd.concat(held, ignore_index=True), sealed)
+
+    return run
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"h1": F.xxhash64("id"), "h2": F.xxhash64(F.lit(7), "id")})
+
+
+def sealed_lookup(puts: DataFrame, base: DataFrame, batches: int = BATCHES, bits: int = BITS, partitions: int | None = None) -> DataFrame:
+    """``put_seq again hits lookups`` of every put with an id, before any exact check.
+
+    ``again``: the id occurred before in the put's own batch (exact). ``hits``: how many sealed partitions
+    of earlier batches, or of ``base``, have the id's fingerprint in its slot; ``lookups``: how many were
+    asked. Keys are hashed over ``partitions``, in each of which the batches are walked in order.
+    """
+    spark = puts.sparkSession
+    span = puts.agg(F.min("put_seq").alias("a"), F.max("put_seq").alias("b")).first()
+    low, high = (span["a"] or 0), (span["b"] or 0)
+    width = max(1, -(-(high - low + 1) // batches))
+    keyed = puts.select("put_seq", norm_id("id").alias("id"), F.expr(f"cast((put_seq - {low}L) div {width} as int)").alias("batch"))
+    before = base.select(F.lit(-1).cast("long").alias("put_seq"), norm_id("id").alias("id"), F.lit(-1).alias("batch"))
+    rows = _hashed(keyed.unionByName(before).filter("id is not null")).select("put_seq", "batch", "h1", "h2")
+    first = rows.mapInPandas(_first_in_block, "put_seq long, batch int, h1 long, h2 long, again boolean")
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # repeats go anywhere: a key with any share of the rows stays spread
+    where = F.when(F.col("again"), F.xxhash64("put_seq")).otherwise(F.col("h1"))
+    return (
+        first.repartition(parts, where)
+        .sortWithinPartitions("batch")
+        .mapInPandas(_stream(bits), "put_seq long, again boolean, hits int, lookups int")
+    )
+
+
+def _claims_checked(puts: DataFrame, base: DataFrame, looked: DataFrame) -> DataFrame:
+    """The claims of the fingerprints with ``right``: whether an earlier put or ``base`` really has the id.
+
+    Only ids with a claim are looked up; of an id put often each map task sends its first put alone.
+    """
+    claims = looked.filter("not again and hits > 0").select("put_seq")
+    keyed = puts.select("put_seq", norm_id("id").alias("id")).filter("id is not null")
+    claimed = keyed.join(claims, "put_seq")
+    every = keyed.unionByName(base.select(F.lit(-1 << 62).alias("put_seq"), norm_id("id").alias("id")).filter("id is not null"))
+    first = every.groupBy("id").agg(F.min("put_seq").alias("first_seq"))
+    return claimed.join(first, "id", "left").select("put_seq", (F.col("first_seq") < F.col("put_seq")).alias("right"))
+
+
+def seen_before(puts: DataFrame, base: DataFrame, batches: int = BATCHES, bits: int = BITS) -> DataFrame:
+    """``put_seq``: the puts whose id is in ``base`` or in a put of smaller number.
+
+    The rows come from :func:`sealed_lookup`; what fingerprints alone claim is checked exactly, and as a
+    sealed partition never misses a key it holds, the result is exact. Null ids (and the NULL id) are
+    never seen; an empty ``base`` or ``puts`` gives what the definition says. Of rows with one number and
+    id in one batch, one counts as the first; numbers are unique in the intended tables.
+    """
+    looked = materialize(sealed_lookup(puts, base, batches, bits))
+    right = _claims_checked(puts, base, looked).filter("right").select("put_seq")
+    return looked.filter("again").select("put_seq").unionByName(right)
+
+
+def wrong_answers(puts: DataFrame, base: DataFrame, batches: int = BATCHES, bits: int = BITS) -> DataFrame:
+    """One row: puts with an id, answers by fingerprint, lookups, wrong answers, their share, and the expected share.
+
+    An answer is wrong if fingerprints claim an id that no earlier put or ``base`` has. ``expected_rate``
+    is what ``lookups`` of new ids against fingerprints of ``bits`` bits would give.
+    """
+    looked = materialize(sealed_lookup(puts, base, batches, bits))
+    checked = _claims_checked(puts, base, looked)
+    wrong = checked.agg(F.count(F.when(~F.col("right"), 1)).alias("wrong_answers"), F.count("*").alias("claims"))
+    total = looked.agg(
+        F.count("*").alias("puts"), F.count(F.when(F.col("again"), 1)).alias("repeats_in_batch"),
+        F.coalesce(F.sum(F.when(F.col("hits") == 0, F.col("lookups"))), F.lit(0)).alias("lookups_of_new"),
+    )
+    rate = lambda a: F.when(F.col("puts") > 0, a / F.col("puts")).otherwise(F.lit(0.0))
+    return total.join(F.broadcast(wrong)).select(
+        "puts", "repeats_in_batch", "claims", "wrong_answers", rate(F.col("wrong_answers")).alias("wrong_rate"),
+        rate(F.col("lookups_of_new") / F.lit(float(1 << bits))).alias("expected_rate"),
+    )

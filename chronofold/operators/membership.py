@@ -203,7 +203,7 @@ def wrong_answers(puts: DataFrame, base: DataFrame, batches: int = BATCHES, bits
         F.coalesce(F.sum(F.when(F.col("hits") == 0, F.col("lookups"))), F.lit(0)).alias("lookups_of_new"),
     )
     rate = lambda a: F.when(F.col("puts") > 0, a / F.col("puts")).otherwise(F.lit(0.0))
-    return total.join(F.broadcast(wrong)).select(
+    return total.withColumn("k", F.lit(1)).join(wrong.withColumn("k", F.lit(1)), "k").select(
         "puts", "repeats_in_batch", "claims", "wrong_answers", rate(F.col("wrong_answers")).alias("wrong_rate"),
         rate(F.col("lookups_of_new") / F.lit(float(1 << bits))).alias("expected_rate"),
     )

@@ -19,15 +19,17 @@ def feature_texts(objects: DataFrame, base: DataFrame | None = None) -> DataFram
 
 
 def feature_history(commits: DataFrame, refs: DataFrame) -> DataFrame:
-    """``first_num parent_path ref_name num ts next_ts object_id``: features by snapshot, at changes only.
+    """``first_num parent_path ref_name num ts next_ts object_id alive commit_id line``: features by snapshot, at changes only.
 
-    A row where a path appears, or appears again, or has another object than in the snapshot before.
+    A row where a path appears, or appears again, or has another object than in the snapshot before; ``alive``
+    tells whether the path is in the line's last snapshot.
     """
     snaps, n = snapshots(commits, refs)
     rows = placed(refs, snaps, n, norm_id("object_id")).withColumnRenamed("h", "object_id")
     w = Window.partitionBy("first_num", *PATH).orderBy("num")
     before, was = F.lag("num").over(w), F.lag("object_id").over(w)
-    changed = rows.withColumns({"_n": before, "_o": was}).filter("_n is null or _n <> num - 1 or not (_o <=> object_id)").drop("_n", "_o")
+    alive = F.max(F.col("next_ts") == -1).over(Window.partitionBy("first_num", *PATH))
+    changed = rows.withColumns({"_n": before, "_o": was, "alive": alive}).filter("_n is null or _n <> num - 1 or not (_o <=> object_id)").drop("_n", "_o")
     return changed.join(snaps.select("num", "commit_id", "line"), "num")
 
 
@@ -39,10 +41,8 @@ def blame(commits: DataFrame, refs: DataFrame, texts: DataFrame) -> DataFrame:
     position, a null value equals a null one; features without text have none.
     """
     history = feature_history(commits, refs)
-    full = history.join(texts, "object_id", "left")
+    full = history.filter("alive").join(texts, "object_id", "left")
     none = F.array().cast("array<struct<pos:int,kind:string,value:string>>")
-    w = Window.partitionBy("first_num", *PATH).orderBy("num")
-    # one row a version with the attributes of the version before it; only the text is carried, not its parts
     versions = full.select("line", "first_num", *PATH, "num", "commit_id", F.coalesce(values.attributes("object_text"), none).alias("a"))
     versions = versions.withColumns({"_last": F.max("num").over(Window.partitionBy("first_num", *PATH))})
     each = versions.select("line", "first_num", *PATH, "num", "commit_id", "_last", F.explode("a").alias("x")).select(

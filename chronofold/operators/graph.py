@@ -121,8 +121,10 @@ class Graph:
     def topological(self) -> DataFrame:
         """``id generation``: 0 without parents, else one more than the largest of the parents'; parents come first.
 
-        The longest way up: relaxed like :meth:`depths`, with the largest in place of the smallest.
+        The longest way up: relaxed like :meth:`depths`, with the largest in place of the smallest. Links that
+        are no first parents may close a loop; then there is no such order, and a ValueError is raised.
         """
+        nodes = self.tree.count()
         chain = self.paths.select("id", F.posexplode("chain").alias("at", "src"))
         through = materialize(chain.join(self.merges.select("src").distinct(), "src", "left_semi"))
         base = self.tree.select("id", F.col("node_depth").alias("t"))
@@ -138,3 +140,5 @@ class Graph:
             gen = new
             if not changed:
                 return gen.select("id", "generation")
+            if gen.filter(F.col("generation") >= nodes).limit(1).count():
+                raise ValueError("the links have a loop")

@@ -120,7 +120,7 @@ def _log_since(s: _Store) -> DataFrame:
 
 
 def _topological(s: _Store) -> DataFrame:
-    return s.graph().topological()
+    return s.own_graph().topological()
 
 
 def _reach(s: _Store) -> DataFrame:
@@ -509,10 +509,11 @@ def oracle_sql() -> dict[str, str]:
         "statistics": f"""with {own} select line, count(*) as n_commits, count(distinct coalesce(author_name, committer_name)) as n_authors,
             min_by(commit_id, (committer_ts, commit_id)) as first_commit, max_by(commit_id, (committer_ts, commit_id)) as last_commit from cc group by 1""",
         "graph_edges": f"with {own} select src, dst, min(ord)::int as ord from x where dst is not null group by 1, 2",
-        "graph_depth": f"""with recursive {graph_ctes}, w as (select id, 0 as d from tree where id not in (select src from e) union select e.src, w.d + 1 from w join e on e.dst = w.id)
+        "graph_depth": f"""with recursive {graph_ctes}, w as (select id, 0 as d from tree where id not in (select src from e)
+            union select e.src, w.d + 1 from w join e on e.dst = w.id join tree t on t.id = e.src where w.d < t.d)
             select id, min(d) as depth from w group by 1""",
         "graph_children": f"""with recursive {graph_ctes} select id, (select count(*) from e where e.dst = tree.id) as n_children, (select count(*) from e where e.src = tree.id) as n_parents from tree""",
-        "graph_topological": f"""with recursive {graph_ctes}, w as (select id, 0 as d from tree where id not in (select src from e) union select e.src, w.d + 1 from w join e on e.dst = w.id)
+        "graph_topological": f"""with recursive {own}, w as (select distinct commit_id as id, 0 as d from cc where commit_id not in (select src from x0) union select x0.src, w.d + 1 from w join x0 on x0.dst = w.id)
             select id, max(d) as generation from w group by 1""",
         "graph_reach": f"""with recursive {graph_ctes}, r as (select id as start, id from tree where id not in (select dst from e) union select r.start, e.dst from r join e on e.src = r.id)
             select start, count(*) as n_reached from r group by 1""",
@@ -522,8 +523,8 @@ def oracle_sql() -> dict[str, str]:
             cm as (select distinct left_id, right_id, a.id from pr join r a on a.start = left_id join r b on b.start = right_id and b.id = a.id)
             select left_id, right_id, id as base_id from cm where not exists (select 1 from e join cm k on k.id = e.src where e.dst = cm.id and k.left_id = cm.left_id and k.right_id = cm.right_id)""",
         "sparse_path": f"""with recursive {graph_ctes}, tp as (select id, root from tree where id not in (select dst from e)), mg as (select distinct src as id from e where ord > 0),
-            r as (select tp.id as start, root, tp.id as at, tp.id in (select id from mg) as hit from tp union select r.start, r.root, e.dst, r.hit or e.dst in (select id from mg) from r join e on e.src = r.at)
-            select start as id, bool_or(hit and at = root) as passes from r group by 1""",
+            r as (select tp.id as start, root, tp.id as cur, tp.id in (select id from mg) as hit from tp union select r.start, r.root, e.dst, r.hit or e.dst in (select id from mg) from r join e on e.src = r.cur)
+            select start as id, bool_or(hit and cur = root) as passes from r group by 1""",
         "walk_graph": f"""with recursive {own}, {reach}, cm as (select distinct id from r), tr as (select distinct tree as id from cc where commit_id in (select id from cm) and tree is not null),
             nm as (select * from (select {norm('tree')} as tree, {norm('object_id')} as object_id, {norm('metadata_id')} as metadata_id, row_number() over (partition by {norm('tree')}, parent_path, ref_name
             order by listed_at desc nulls last) as k from tree_refs) where k = 1 and tree in (select id from tr))
@@ -558,7 +559,7 @@ def oracle_sql() -> dict[str, str]:
             select 'clicks' as rule, id, k as k_value, kind from v where kind = 'click' union all select 'not_views', id, null, kind from v where coalesce(kind <> 'view', true)
             union all select 'with_k', id, k, null from v where k is not null and kind is not null""",
         "osm_tags": """select event_id as id, concat_ws('|', 'k:' || (props ->> '$.k'), 'type:' || event_type) as tag_text, props ->> '$.k' as k from events""",
-        "osm_ways": """with v as (select l_orderkey as id, l_linenumber as pos, p_size::double as x, p_partkey::double as y from lineitem left join part on p_partkey = l_partkey and p_size <= 40),
+        "osm_ways": """with v as (select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, p_size::double as x, p_partkey::double as y from lineitem left join part on p_partkey = l_partkey and p_size <= 40),
             g as (select id, count(x) as n_points, count(*) - count(x) as n_missing, min_by(y, pos) filter (x is not null) as first_y, max_by(y, pos) filter (x is not null) as last_y from v group by 1)
             select id, n_points::int as n_points, n_missing, coalesce(first_y = last_y and n_points >= 4, false) as closed, first_y, last_y from g""",
         "osm_change_set": f"""{base}{d} select case change_kind when 'ADDED' then 'create' when 'MODIFIED' then 'modify' else 'delete' end as action, str_split(parent_path, '/')[-1] as kind, count(*) as n

@@ -28,8 +28,9 @@ _DROPPED = re.compile(
 _ACCENT = re.compile(r"""\\(?:["'`^~=.]|[cvuHkr](?![A-Za-z]))\s*\{?\s*(\\?[A-Za-z])\}?""")
 _LETTER = re.compile(r"\\(ss|ae|AE|oe|OE|o|O|l|L|aa|AA|i|j)(?![A-Za-z])(?:\{\}|\s)?")
 _COMMAND = re.compile(r"\\[A-Za-z@]+\*?(?:\s|\{\})?|\\\\|[{}]|\\.")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"(]|$)|\x00")
-_WORD = re.compile(r"[a-z]{2,}")
+_SENTENCE = re.compile(r"[.!?]\s+(?=[A-Z0-9\"(]|$)|\x00")
+#: Bytes to words: letters in lower case, blanks for the rest.
+_LETTERS = bytes(c | 32 if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128
 _WRONG = re.compile("[\u00c2\u00c3\u00c5][\u0080-\u00bf\u0152-\u02dc\u2013-\u2122]")
 #: Letters that no decomposition reduces to a base letter. Fixed values.
 _BASE = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
@@ -37,7 +38,7 @@ _BASE = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l",
 
 def mend(text: str) -> str:
     """Undo UTF-8 read as a single-byte code, where the text shows it."""
-    if not _WRONG.search(text):
+    if text.isascii() or not _WRONG.search(text):
         return text
 
     def back(m: re.Match) -> str:
@@ -57,7 +58,13 @@ def fold(text: str) -> str:
     if text.isascii():
         return text
     text = unicodedata.normalize("NFKD", text.translate(_BASE))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return "".join([c for c in text if not unicodedata.combining(c)])
+
+
+def words(text: str) -> list[bytes]:
+    """Folded words of at least two letters."""
+    raw = (text if text.isascii() else fold(text)).encode("ascii", "replace")
+    return [w for w in raw.translate(_LETTERS).split() if len(w) > 1]
 
 
 def visible(text: str) -> str:
@@ -101,9 +108,9 @@ def visible(text: str) -> str:
     return t.replace("~", " ")
 
 
-def sentences(text: str | None) -> list[list[str]]:
+def sentences(text: str | None) -> list[list[bytes]]:
     """The visible sentences, each as its folded words; sentences without a word are left out. None for no text."""
     if not text:
         return []
-    out = [_WORD.findall(fold(s)) for s in _SENTENCE.split(visible(text))]
+    out = [words(s) for s in _SENTENCE.split(visible(text)) if s]
     return [w for w in out if len(w) > 2]

@@ -55,42 +55,37 @@ TERMS = "doc_id long, lang int, words long, lens array<int>, terms array<int>, u
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sentences as hashed terms, and the document's distinct terms with their counts."""
     import zlib
+    from collections import Counter
+    from itertools import chain
 
-    telling: dict[str, list[int]] = {}
-    for k, words in enumerate(FUNCTION_WORDS.values()):
-        for w in words.split():
-            telling.setdefault(w, []).append(k)
-    known: list[dict[str, int]] = [{} for _ in LANGUAGES]
+    telling = [w.encode().split() for w in FUNCTION_WORDS.values()]
+    known: list[dict[bytes, int]] = [{} for _ in LANGUAGES]
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
-            langs, words, lens, terms, counts, uterms, ucounts = [], [], [], [], [], [], []
+            langs, words, lens, terms, uterms, ucounts = [], [], [], [], [], []
             for text in part.column(1).to_pylist():
                 found = latex.sentences(text)
-                votes = [0] * len(LANGUAGES)
-                for s in found:
-                    for w in s:
-                        for k in telling.get(w, ()):
-                            votes[k] += 1
+                flat = list(chain.from_iterable(found))
+                counted = Counter(flat)
+                votes = [sum(counted[w] for w in some if w in counted) for some in telling]
                 lang = votes.index(max(votes))
-                cache, prefix = known[lang], LANGUAGES[lang] + ":"
-                if len(cache) > 500_000:
-                    cache.clear()
-                flat = []
-                for s in found:
-                    for w in s:
-                        at = cache.get(w)
-                        if at is None:
-                            at = cache[w] = zlib.crc32((prefix + w).encode()) % FEATURES
-                        flat.append(at)
+                ids, prefix = known[lang], LANGUAGES[lang].encode() + b":"
+                if len(ids) > 500_000:
+                    ids.clear()
+                for w in counted:
+                    if w not in ids:
+                        ids[w] = zlib.crc32(prefix + w) % FEATURES
                 langs.append(lang)
                 words.append(len(flat))
                 lens.append(np.fromiter(map(len, found), np.int32, len(found)))
-                ids = np.array(flat, np.int32)
-                terms.append(ids)
-                u, c = np.unique(ids, return_counts=True)
-                uterms.append(u)
-                ucounts.append(c.astype(np.int32))
+                terms.append(np.fromiter(map(ids.__getitem__, flat), np.int32, len(flat)))
+                sums: dict[int, int] = {}
+                for w, n in counted.items():
+                    at = ids[w]
+                    sums[at] = sums.get(at, 0) + n
+                uterms.append(np.fromiter(sums.keys(), np.int32, len(sums)))
+                ucounts.append(np.fromiter(sums.values(), np.int32, len(sums)))
             arrays = [part.column(0), pa.array(langs, pa.int32()), pa.array(words, pa.int64())]
             arrays += [pa.array(x, pa.list_(pa.int32())) for x in (lens, terms, uterms, ucounts)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "words", "lens", "terms", "uterms", "ucounts"])

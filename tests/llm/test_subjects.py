@@ -2,7 +2,8 @@ import random
 
 from chronofold.llm import subjects as s
 
-WORDS = {"plants": "leaf root stem seed flower moss fern pollen bark petal".split(), "stars": "orbit comet nebula galaxy pulsar quasar lunar solar eclipse dust".split()}
+AREAS = ["plants", "stars", "cooking", "sailing", "music", "weaving"]
+WORDS = {a: [a[:3] + x + y for x in ("ba", "do", "ki", "lu", "me") for y in ("ran", "sol", "tik", "vum", "wex", "zor")] for a in AREAS}
 COMMON = "we see how the of and in this with that for is to".split()
 
 
@@ -25,18 +26,18 @@ def corpus(seed, n):
 
 
 def test_finds_areas(spark):
-    docs, truth = corpus(1, 150)
+    docs, truth = corpus(1, 240)
     docs += [(900, None, "x"), (901, "", "x"), (902, "% nothing", "x")]
     d = spark.createDataFrame(docs, "doc_id long, text string, subject string")
-    labels = [(i, next(iter(truth[i])), 1) for i in range(0, 60, 2)] + [(1, "unknown", 1), (5000, "stars", 1), (None, None, None)]
+    labels = [(i, next(iter(truth[i])), 1) for i in range(0, 90, 2)] + [(1, "unknown", 1), (5000, "stars", 1), (3, "Stars", 2), (None, None, None)]
     la = spark.createDataFrame(labels, "doc_id long, subject string, labeler int")
-    su = spark.createDataFrame([("Plants ", "d"), ("stars", "d"), (None, None)], "subject string, description string")
+    su = spark.createDataFrame([("Plants ", "d"), *[(a, "d") for a in AREAS], (None, None)], "subject string, description string")
     found = s.document_subjects(d, la, su)
     got = {}
     for r in found.collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
         assert 4 * r["n_sentences"] >= r["n_treated"]
-    held_out = [i for i in truth if i >= 60 or i % 2]
+    held_out = [i for i in truth if i >= 90 or i % 2]
     assert sum(got.get(i) == truth[i] for i in held_out) >= 0.9 * len(held_out)
     assert not {900, 901, 902} & set(got)
     shares = {r["subject"]: r["doc_share"] for r in s.composition(found).collect()}

@@ -280,7 +280,7 @@ def node_paths(tree: DataFrame, block: int = 4096) -> DataFrame:
             if home == b:
                 ids.append(name)
                 paths.append(stack[-1][1])
-        return pd.DataFrame({"id": ids, "path": paths})
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "path": pd.Series(paths, dtype=object)})
 
     return spread.groupBy("b", group.alias("g")).applyInPandas(
         walk, StructType([StructField("id", StringType()), StructField("path", StringType())])

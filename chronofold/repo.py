@@ -538,7 +538,8 @@ class Repo:
         """Replace the commits after ``since`` by one; refused if another of them is a parent of a commit outside."""
         base, known = self.resolve(since), self.commits()
         own = {c["commit_id"] for c in self.log("HEAD", since=base)}
-        if any(p in own for c in known.values() if c["commit_id"] not in own for p in c["parents"]):
+        held = {c["commit_id"]: c for name in self.refs("refs/") for c in self.log(name)}
+        if any(p in own for k, c in held.items() if k not in own for p in c["parents"]):
             raise ValueError("a branch begins inside the commits to squash")
         tree, author = known[self.head]["tree"], known[self.head]["author"]
         at = self._commit(tree, [base], author, known[self.head]["author_ts"], message)

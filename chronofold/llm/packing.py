@@ -113,7 +113,9 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, block: int = BLOCK, by: st
     placed = counted.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
     if not kinds:
         return counted.sparkSession.createDataFrame([], CONTENTS)
-    return placed.groupBy("block").applyInPandas(lambda t: _pack(t, kinds, by), CONTENTS)
+    # numbers of tokens are small but packing them isn't: as many tasks as blocks, not as their bytes would ask for
+    spread = placed.repartition(min(blocks, 20_000), "block")
+    return spread.groupBy("block").applyInPandas(lambda t: _pack(t, kinds, by), CONTENTS)
 
 
 def fill_report(contents: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a dimension table may be broadcast; about 100 bytes a row, so some 40 MB at most.
 BROADCAST_ROWS = 400_000
 
+#: Partitions up to which their first numbers are looked up in a literal map, and beyond which in a broadcast table.
+MAP_ENTRIES = 256
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -77,8 +80,13 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     part = F.shiftright("_at", 33)
     start, offsets = 0, []
     for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():
-        offsets += [F.lit(r["p"]), F.lit(start - (r["p"] << 33))]
+        offsets.append((r["p"], start - (r["p"] << 33)))
         start += r["count"]
-    number = (F.col("_at") + F.create_map(*offsets)[part]) if offsets else F.col("_at")
-    out = placed.withColumn(name, number.cast("long")).drop("_at")
+    if len(offsets) > MAP_ENTRIES:
+        shift = df.sparkSession.createDataFrame(offsets, "_p long, _shift long")
+        out = placed.withColumn("_p", part).join(F.broadcast(shift), "_p").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
+    else:
+        flat = [F.lit(x).cast("long") for pair in offsets for x in pair]
+        number = (F.col("_at") + F.create_map(*flat)[part]) if flat else F.col("_at")
+        out = placed.withColumn(name, number.cast("long")).drop("_at")
     return out, start

@@ -97,3 +97,14 @@ def test_merging_in_turn_equals_merging_at_once(spark):
     first = versions.merge_versions(None, early.drop("next_ts").join(known, "num"), keys)
     second = versions.close_absent(versions.merge_versions(first, placed.filter("num - first_num >= 4"), keys), snaps.select("num", "next_ts"))
     assert rows(second.select(sorted(whole.columns))) == rows(whole.select(sorted(whole.columns)))
+
+
+def test_numbers_follow_the_order(spark, monkeypatch):
+    from chronofold import workspace
+
+    d = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "k long, v string")
+    for entries in (256, 1):
+        monkeypatch.setattr(workspace, "MAP_ENTRIES", entries)
+        got, n = workspace.number_rows(d, ["k"], "num")
+        assert n == 101 and rows(got.select("k", "num")) == [(i, i) for i in sorted(range(101), key=lambda i: repr((i, i)))]
+    assert workspace.number_rows(d.limit(0), ["k"], "num")[1] == 0

@@ -4,8 +4,10 @@
    of others; terms are weighted by inverse document frequency within the language.
 2. A truncated singular value decomposition of the document-term matrix, by randomized subspace iteration
    over all documents, embeds them in ``DIMENSIONS`` dimensions.
-3. Labelled documents seed a centroid for each subject and language. Documents go to the nearest centroid by
-   cosine similarity and centroids are recomputed, a few times.
+3. Labelled documents seed a centroid for each subject and language. A subject without labels in a language is
+   seeded by that language's terms that begin like terms near the subject's centroids of other languages, or,
+   without labels anywhere, like words of its description. Documents go to the nearest centroid by cosine
+   similarity and centroids are recomputed, a few times.
 4. The documents' similarities tell how terms are spread over subjects; a term spread like the documents
    themselves says nothing, one found in one subject alone says most. With these weights each term, and so
    each sentence, becomes a vector along the centroids, and a sentence of enough weight treats the subject
@@ -41,6 +43,10 @@ QUARTER = 4
 #: Occurrences of the language's average that every term is mixed with, against chance.
 SMOOTH = 3.0
 ROUNDS = 3
+#: Letters by which words of different languages are held to be akin, and the least lead of a subject in cosine
+#: over the next one at which such a beginning speaks for it.
+BEGINNING = 5
+LEAD = 0.1
 #: Words that tell the languages of the corpus apart. Fixed values.
 FUNCTION_WORDS = {
     "en": "the of and is in to that with for we this are it on by",
@@ -49,11 +55,21 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = list(FUNCTION_WORDS)
 
-TERMS = "doc_id long, lang int, words long, lens array<int>, terms array<int>, uterms array<int>, ucounts array<int>"
+TERMS = "doc_id long, lang int, words long, lens array<int>, terms array<int>, uterms array<int>, ucounts array<int>, vterms array<int>, vcues array<int>"
+
+
+def _cue(word: bytes) -> int | None:
+    """The beginning of a word, hashed alike in all languages; short words have none."""
+    import zlib
+
+    return zlib.crc32(word[:BEGINNING]) % FEATURES if len(word) >= BEGINNING else None
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences as hashed terms, and the document's distinct terms with their counts."""
+    """Sentences as hashed terms, and the document's distinct terms with their counts.
+
+    ``vterms`` and ``vcues`` are the terms that the task meets first in this document, with their beginnings.
+    """
     import zlib
     from collections import Counter
     from itertools import chain
@@ -63,7 +79,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
-            langs, words, lens, terms, uterms, ucounts = [], [], [], [], [], []
+            langs, words, lens, terms, uterms, ucounts, vterms, vcues = [], [], [], [], [], [], [], []
             for text in part.column(1).to_pylist():
                 found = latex.sentences(text)
                 flat = list(chain.from_iterable(found))
@@ -73,9 +89,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, prefix = known[lang], LANGUAGES[lang].encode() + b":"
                 if len(ids) > 500_000:
                     ids.clear()
+                fresh, cues = [], []
                 for w in counted:
                     if w not in ids:
                         ids[w] = zlib.crc32(prefix + w) % FEATURES
+                        if (cue := _cue(w)) is not None:
+                            fresh.append(ids[w])
+                            cues.append(cue)
+                vterms.append(np.array(fresh, np.int32))
+                vcues.append(np.array(cues, np.int32))
                 langs.append(lang)
                 words.append(len(flat))
                 lens.append(np.fromiter(map(len, found), np.int32, len(found)))
@@ -87,8 +109,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 uterms.append(np.fromiter(sums.keys(), np.int32, len(sums)))
                 ucounts.append(np.fromiter(sums.values(), np.int32, len(sums)))
             arrays = [part.column(0), pa.array(langs, pa.int32()), pa.array(words, pa.int64())]
-            arrays += [pa.array(x, pa.list_(pa.int32())) for x in (lens, terms, uterms, ucounts)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "words", "lens", "terms", "uterms", "ucounts"])
+            arrays += [pa.array(x, pa.list_(pa.int32())) for x in (lens, terms, uterms, ucounts, vterms, vcues)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "words", "lens", "terms", "uterms", "ucounts", "vterms", "vcues"])
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
@@ -262,6 +284,49 @@ def _seeds(embedded: DataFrame, labels: DataFrame, subjects: list[str]) -> np.nd
     return _reduce(rows, ["lang", "vec", "s", "share"], width, len(LANGUAGES) * len(subjects), part).reshape(len(LANGUAGES), len(subjects), width)
 
 
+def _cues(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, term and beginning; of words hashed alike, the beginning that most tasks met. At most a row a language and feature."""
+    pairs = table.select("lang", F.explode(F.arrays_zip("vterms", "vcues")).alias("x")).groupBy("lang", "x.vterms", "x.vcues").count()
+    one = pairs.groupBy("lang", "vterms").agg(F.max(F.struct("count", "vcues"))["vcues"].alias("vcues")).toArrow()
+    return tuple(one.column(c).to_numpy().astype(np.int64) for c in ("lang", "vterms", "vcues"))
+
+
+def _carried(seeds: np.ndarray, table: DataFrame, idf: np.ndarray, vectors: np.ndarray, descriptions: list[str]) -> np.ndarray:
+    """``seeds`` with centroids for the pairs of language and subject that have no label.
+
+    A beginning speaks for a subject as far as its terms are nearer to the subject's centroids than to all
+    others, in the languages that have both. The terms of the language that begin so add up to the centroid,
+    less what the language's labelled subjects already hold. A pair stays at zero if no term begins so.
+    """
+    n_langs, n, _ = seeds.shape
+    labelled = np.linalg.norm(seeds, axis=-1) > 0
+    if labelled.all() or seeds.shape[2] != vectors.shape[1]:  # nothing to do, or no documents
+        return seeds
+    lang, term, cue = _cues(table)
+    unit, known = _unit(vectors[term]), _unit(seeds)
+    some = idf[term] > 0
+    lead = np.zeros((FEATURES, n), np.float32)
+    for at in range(n_langs):
+        of = (lang == at) & some
+        near = unit[of] @ known[at].T
+        near[:, ~labelled[at]] = -1
+        order = np.sort(near, axis=1)
+        ahead = np.where(near == order[:, -1:], near - np.maximum(order[:, -2:-1], 0) if n > 1 else near, 0)
+        np.maximum.at(lead, cue[of], ahead.astype(np.float32))
+    lead[(lead < LEAD) | (lead < lead.max(axis=1, keepdims=True))] = 0
+    for s in np.flatnonzero(~labelled.any(axis=0)):
+        for word in set(next(iter(latex.sentences(descriptions[s] + ".")), [])):
+            if (c := _cue(word)) is not None:
+                lead[c, s] = 1
+    seeds = seeds.copy()
+    for at, s in np.argwhere(~labelled):
+        of = (lang == at) & some
+        got = (lead[cue[of], s] * idf[term[of]]) @ unit[of]
+        claimed, _ = np.linalg.qr(known[at][labelled[at]].T)
+        seeds[at, s] = got - claimed @ (claimed.T @ got)
+    return seeds
+
+
 def _nearest(vec: np.ndarray, lang: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Cosine similarities of documents to the centroids of their language."""
     return np.einsum("dk,dsk->ds", vec, centroids[lang])
@@ -352,13 +417,13 @@ def _sentence_counts(batch: pa.RecordBatch, model: Model) -> np.ndarray:
     return np.bincount(doc * k + best[treats], minlength=len(n) * k).reshape(len(n), k)
 
 
-def fit(table: DataFrame, labels: DataFrame, subjects: list[str], dimensions: int = DIMENSIONS) -> Model:
+def fit(table: DataFrame, labels: DataFrame, subjects: list[str], dimensions: int = DIMENSIONS, descriptions: list[str] | None = None) -> Model:
     """Fit embedding, centroids and term weights on all documents of ``table`` (see :func:`document_terms`)."""
     spark = table.sparkSession
     idf, _ = _idf(table)
     vectors = _svd(table, idf, dimensions)
     embedded = materialize(embed(table, idf, vectors))
-    centroids = _refined(embedded, _seeds(embedded, labels, subjects), ROUNDS)
+    centroids = _refined(embedded, _carried(_seeds(embedded, labels, subjects), table, idf, vectors, descriptions or [""] * len(subjects)), ROUNDS)
     width = len(subjects) + len(LANGUAGES)
     first = spark.sparkContext.broadcast((idf, vectors, centroids))
 
@@ -388,10 +453,11 @@ def fit(table: DataFrame, labels: DataFrame, subjects: list[str], dimensions: in
     return _term_weights(_reduce(table, ["lang", "terms", "lens", "uterms", "ucounts"], width, rows, by_sentences), idf, subjects)
 
 
-def subject_names(subjects: DataFrame) -> list[str]:
-    """The areas to tell apart: a fixed table of a few rows, in alphabetical order."""
+def subject_names(subjects: DataFrame) -> dict[str, str]:
+    """The areas to tell apart and their descriptions: a fixed table of a few rows, in alphabetical order."""
     name = F.lower(F.btrim("subject")).alias("subject")
-    return [r["subject"] for r in subjects.select(name).filter("subject <> ''").distinct().orderBy("subject").limit(10_000).collect()]
+    one = subjects.select(name, "description").filter("subject <> ''").groupBy("subject").agg(F.concat_ws(" ", F.sort_array(F.collect_set("description"))).alias("text"))
+    return {r["subject"]: r["text"] for r in one.orderBy("subject").limit(10_000).collect()}
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -401,14 +467,16 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -
     of ``n_treated``, and ``words`` are the document's visible words. Comments, definitions, bibliography,
     titles and maths aren't visible, own macros stand for their definition. Null, empty and purely technical
     texts have no row. Labels may be wrong, contradictory, repeated or of unknown documents and subjects; a
-    subject without any label in a language isn't found in that language. No labels or subjects: no rows.
+    subject without any label in a language is found there by terms akin to those of its labels in other
+    languages, or to its description, if the language has any. No subjects: no rows.
     """
-    names = subject_names(subjects)
+    described = subject_names(subjects)
+    names = list(described)
     schema = "doc_id long, subject string, n_sentences int, n_treated int, words long"
     if not names:
         return docs.sparkSession.createDataFrame([], schema)
     table = materialize(document_terms(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(table, labels, names))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(table, labels, names, descriptions=list(described.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

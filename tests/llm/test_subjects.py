@@ -52,3 +52,27 @@ def test_empty(spark):
     assert s.document_subjects(d, la, su.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "The orbit of the comet is this.")], "doc_id long, text string")
     assert s.document_subjects(one, la, su).count() == 0
+
+
+def test_finds_areas_without_labels_in_a_language(spark):
+    docs, truth = corpus(3, 240)
+    rnd, french = random.Random(4), "nous voyons que la les des et une pour dans avec est".split()
+    for i in range(1000, 1120):
+        area = AREAS[i % 6]
+        own = [w + "eux" for w in WORDS[area][:12]] + ["q" + w for w in WORDS[area]]  # some akin to the other language's words
+        sents = [" ".join(rnd.sample(french, 5) + rnd.sample(own, 3)).capitalize() + "." for _ in range(8)]
+        docs.append((i, r"\begin{document}" + " ".join(sents) + r"\end{document}", "x"))
+        truth[i] = {area}
+    d = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    hidden = {"stars": set(range(1000, 1120)), "weaving": set(truth)}  # no French label; no label at all
+    labels = [(i, a, 1) for i in truth if i % 2 == 0 or i >= 1000 for a in truth[i] if i not in hidden.get(a, ())]
+    su = [(a, "things " + " ".join(WORDS[a][:6] if a == "weaving" else [])) for a in AREAS]
+    found = s.document_subjects(d, spark.createDataFrame(labels, "doc_id long, subject string, labeler int"), spark.createDataFrame(su, "subject string, description string"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    for area, ids in (("stars", range(1000, 1120)), ("weaving", range(1000, 1120)), ("weaving", range(240))):
+        these = [i for i in ids if area in truth[i]]
+        assert sum(area in got.get(i, ()) for i in these) >= 0.9 * len(these)
+        others = [i for i in ids if area not in truth[i]]
+        assert sum(area in got.get(i, ()) for i in others) <= 0.05 * len(others)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounds, paths, values
+from ..workspace import materialize
 from .listing import subtree_stats
 from .snapshots import PATH
 
@@ -107,6 +108,20 @@ def renames(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return once(diff(old, new, keys, "REMOVED"), "old").join(once(diff(old, new, keys, "ADDED"), "new"), [*keys, "object_id"])
 
 
+def moves(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys object_id side path``: every path that an object left (``old``) or came to (``new``), of objects that did both.
+
+    All pairings of :func:`renames` and those of objects at several paths, as memberships: nothing is multiplied.
+    """
+    ends = diff(old, new, keys).filter("change_kind <> 'MODIFIED'").select(
+        *keys, F.coalesce("old_object_id", "new_object_id").alias("object_id"), F.when(F.col("change_kind") == "REMOVED", "old").otherwise("new").alias("side"),
+        paths.full_path("parent_path", "ref_name").alias("path"),
+    )
+    ends = materialize(ends.filter("object_id is not null"))
+    both = ends.groupBy(*keys, "object_id").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a <> b").drop("a", "b")
+    return ends.join(both, [*keys, "object_id"], "left_semi")
+
+
 def type_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Trees whose feature type differs: ``keys path old_metadata_id new_metadata_id``."""
     t = lambda d, side: d.filter("ref_type = 'TREE'").select(

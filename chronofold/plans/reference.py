@@ -78,6 +78,11 @@ def _renames(s: _Store) -> DataFrame:
     return diff.renames(old, new, ["line"])
 
 
+def _moves(s: _Store) -> DataFrame:
+    old, new = s.at("first", "last")
+    return diff.moves(old, new, ["line"])
+
+
 def _type_changes(s: _Store) -> DataFrame:
     old, new = s.at("first", "last")
     return diff.type_changes(old, new, ["line"])
@@ -305,6 +310,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "diff_count_rollup": lambda s: diff.count_rollup(s.diff(), "line"),
         "diff_bounds": lambda s: diff.diff_bounds(s.diff(), ["line"]),
         "diff_renames": _renames,
+        "diff_moves": _moves,
         "diff_feature_types": _type_changes,
         "feature_diff": _feature_diff,
         "ls_children": _ls("", "CHILDREN"),

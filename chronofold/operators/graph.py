@@ -6,6 +6,7 @@ hop. So the number of rounds depends on how often merges are nested, not on how
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +32,22 @@ def clean_edges(edges: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """Nodes and links with the first-parent trees worked out; loops are left out, with all that hangs from them."""
+    """Nodes and links with the first-parent trees worked out.
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+    Loops of first parents are cut at each of their nodes, and the cut links are followed as hops. Without
+    ``looped``, loops are left out with all that hangs from them.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, looped: bool = True) -> None:
         ids = nodes.select(norm_id("id").alias("id")).dropna().distinct()
-        self.tree = materialize(hierarchy(ids, edges).filter("node_depth >= 0"))
+        tree = hierarchy(ids, edges)
+        self.tree = materialize(tree if looped else tree.filter("node_depth >= 0"))
         self.paths = materialize(node_paths(self.tree).withColumn("chain", F.split("path", "/")).drop("path"))
         known, to = self.tree.select(F.col("id").alias("src")), self.tree.select(F.col("id").alias("dst"))
         self.edges = materialize(clean_edges(edges).join(known, "src", "left_semi").join(to, "dst", "left_semi"))
         self.merges = self.edges.filter("ord > 0").select("src", "dst")
+        on_chain = self.paths.filter("size(chain) > 1").select(F.col("id").alias("src"), F.element_at("chain", -2).alias("dst"))
+        self.hops = materialize(self.edges.select("src", "dst").join(on_chain, ["src", "dst"], "left_anti"))
 
     def reach(self, starts: DataFrame) -> DataFrame:
         """``start id``: everything reachable from each start, itself included. ``starts`` has ``start`` and ``id``."""
@@ -52,32 +60,36 @@ class Graph:
             new = materialize(chain)
             made.append(new)
             seen = new if seen is None else seen.unionByName(new)
-            hops = new.join(self.merges, new["id"] == self.merges["src"]).select("start", F.col("dst").alias("id")).distinct()
+            hops = new.join(self.hops, new["id"] == self.hops["src"]).select("start", F.col("dst").alias("id")).distinct()
             frontier = materialize(hops.join(seen, ["start", "id"], "left_anti"))
             made.append(frontier)
         return seen if seen is not None else frontier
 
     def depths(self) -> DataFrame:
-        """``id depth``: links on the shortest way to a node without parents."""
-        # every node's ancestors-or-self that are merges, with what a shorter way through their other parents saves
+        """``id depth``: links on the shortest way to a node without parents, null if there is none."""
+        # every node's ancestors-or-self with other links than the chain's, and what a shorter way through these saves
         chain = self.paths.select("id", F.posexplode("chain").alias("at", "src"))
-        through = materialize(chain.join(self.merges.select("src").distinct(), "src", "left_semi"))
-        base = self.tree.select("id", F.col("node_depth").alias("tree_depth"))
-        depth, made = materialize(base.withColumn("depth", F.col("tree_depth"))), []
+        through = materialize(chain.join(self.hops.select("src").distinct(), "src", "left_semi"))
+        top = self.edges.select(F.col("src").alias("top")).distinct().withColumn("has_parent", F.lit(True))
+        own = self.paths.select("id", (F.size("chain") - 1).alias("tree_depth"), F.col("chain")[0].alias("top"))
+        base = materialize(own.join(top, "top", "left").select("id", "tree_depth", F.when(F.col("has_parent").isNull(), F.col("tree_depth")).alias("rooted")))
+        depth, made = base.select("id", F.col("rooted").alias("depth")), []
         while True:
             other = depth.select(F.col("id").alias("dst"), F.col("depth").alias("d"))
             own = base.select(F.col("id").alias("src"), F.col("tree_depth").alias("t"))
-            saved = self.merges.join(other, "dst").join(own, "src").groupBy("src").agg(F.min(F.col("d") + 1 - F.col("t")).alias("gain"))
+            saved = self.hops.join(other, "dst").join(own, "src").groupBy("src").agg(F.min(F.col("d") + 1 - F.col("t")).alias("gain"))
             gains = through.join(saved, "src").groupBy("id").agg(F.min("gain").alias("gain"))
             new = materialize(
-                base.join(gains, "id", "left").select("id", "tree_depth", (F.col("tree_depth") + F.least(F.coalesce("gain", F.lit(0)), F.lit(0))).alias("depth"))
+                base.join(gains, "id", "left").select("id", F.least("rooted", F.col("tree_depth") + F.col("gain")).alias("depth"))
             )
-            changed = new.join(depth.select("id", F.col("depth").alias("was")), "id").filter("depth < was").limit(1).count()
-            made.append(depth)
+            changed = new.join(depth.select("id", F.col("depth").alias("was")), "id").filter("not (depth <=> was)").limit(1).count()
+            if made:
+                discard(made.pop())
+            made.append(new)
             depth = new
             if not changed:
                 break
-        discard(*made, through)
+        discard(through, base)
         return depth.select("id", "depth")
 
     def children(self) -> DataFrame:
@@ -91,15 +103,30 @@ class Graph:
         """``pair id``: the common ancestors of ``left_id`` and ``right_id`` that no other common ancestor descends from.
 
         A node is its own ancestor. Whatever a common ancestor reaches is common too, so one is lowest
-        exactly if none of its children is common.
+        exactly if none of its children is common, but for those that it reaches itself: on a loop.
         """
         both = pairs.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("left_id").alias("id")), F.struct(F.lit(1).alias("s"), F.col("right_id").alias("id")))).alias("x"))
         starts = both.select(F.struct("pair", "x.s").alias("start"), "x.id")
         reached = self.reach(starts).select("start.pair", "start.s", "id")
         common = materialize(reached.groupBy("pair", "id").agg(F.count_distinct("s").alias("n")).filter("n = 2").drop("n"))
-        above = common.join(self.edges, common["id"] == self.edges["src"]).select("pair", F.col("dst").alias("id"))
+        above = common.join(self.edges, common["id"] == self.edges["src"]).select("pair", "src", F.col("dst").alias("id"))
+        on_loops = self.loop_links().withColumnRenamed("dst", "id")
+        above = materialize(above.join(on_loops, ["src", "id"], "left_anti").select("pair", "id").distinct())
+        # a loop with one such node isn't lowest at all
+        around = self.reach(above.join(on_loops.select("id").distinct(), "id", "left_semi").select(F.col("pair").alias("start"), "id"))
+        above = above.unionByName(around.withColumnRenamed("start", "pair"))
         return common.join(above, ["pair", "id"], "left_anti")
 
+    def loop_links(self) -> DataFrame:
+        """``src dst`` of the links on loops: those whose parent reaches the child."""
+        # chains have no loop, so each loop has a hop, and all its links start where the hops on loops lead
+        tried = self.reach(self.hops.select(F.col("dst").alias("start"), F.col("dst").alias("id")))
+        round_ = lambda links, reached: links.join(reached.select(F.col("start").alias("dst"), F.col("id").alias("src")), ["src", "dst"], "left_semi")
+        back = round_(self.hops, tried)
+        near = tried.join(back.select(F.col("dst").alias("start")).distinct(), "start", "left_semi").select("id").distinct()
+        links = materialize(self.edges.select("src", "dst").join(near.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        return materialize(round_(links, self.reach(links.select(F.col("dst").alias("start"), F.col("dst").alias("id")))))
+
     def passes(self, pairs: DataFrame, marked: DataFrame) -> DataFrame:
         """``pair passes``: whether a way from ``left_id`` up to ``right_id`` goes through a node of ``marked``, ends included.
 
@@ -113,10 +140,28 @@ class Graph:
         return pairs.select("pair").join(hit.withColumn("passes", F.lit(True)), "pair", "left").select("pair", F.coalesce("passes", F.lit(False)).alias("passes"))
 
     def first_parents(self, starts: DataFrame) -> DataFrame:
-        """``start id back``: the first-parent history of each start; ``back`` counts from 0 at the start itself."""
+        """``start id back``: the first-parent history of each start; ``back`` counts from 0 at the start itself.
+
+        A history that runs into a loop goes once around it. A task holds one loop.
+        """
         s = starts.select("start", norm_id("id").alias("id"))
-        chain = s.join(self.paths, "id").select("start", F.posexplode(F.reverse("chain")).alias("back", "id"))
-        return chain.select("start", "id", "back")
+        own = s.join(self.paths, "id")
+        chain = own.select("start", F.posexplode(F.reverse("chain")).alias("back", "id")).select("start", "id", "back")
+        cut = self.paths.filter("size(chain) = 1").join(self.tree.filter("node_depth < 0").select("id", "root_id"), "id").select("id", "root_id")
+        up = self.edges.filter("ord = 0").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("p"))
+
+        def walk(t: pd.DataFrame) -> pd.DataFrame:
+            up, at, order = dict(zip(t["id"], t["p"])), t["root_id"].iloc[0], []
+            for _ in range(len(t)):
+                order.append(at)
+                at = up[at]
+            return pd.DataFrame({"id": order, "root_id": t["root_id"].iloc[0], "pos": range(len(t)), "n": len(t)})
+
+        ring = materialize(cut.join(up, "id").groupBy("root_id").applyInPandas(walk, "id string, root_id string, pos int, n int"))
+        entered = own.select("start", F.col("chain")[0].alias("id"), (F.size("chain") - 1).alias("steps")).join(ring, "id")
+        there = ring.select("root_id", F.col("id").alias("there"), F.col("pos").alias("other"))
+        around = entered.join(there, "root_id").filter("other <> pos").select("start", F.col("there").alias("id"), (F.col("steps") + F.pmod(F.col("other") - F.col("pos"), F.col("n"))).alias("back"))
+        return chain.unionByName(around)
 
     def topological(self) -> DataFrame:
         """``id generation``: 0 without parents, else one more than the largest of the parents'; parents come first.
@@ -124,6 +169,8 @@ class Graph:
         The longest way up: relaxed like :meth:`depths`, with the largest in place of the smallest. Links that
         are no first parents may close a loop; then there is no such order, and a ValueError is raised.
         """
+        if self.tree.filter("node_depth < 0").limit(1).count():
+            raise ValueError("the links have a loop")
         nodes = self.tree.count()
         chain = self.paths.select("id", F.posexplode("chain").alias("at", "src"))
         through = materialize(chain.join(self.merges.select("src").distinct(), "src", "left_semi"))

@@ -42,8 +42,9 @@ class _Store:
         old, new = self.at("first", "last")
         return diff.diff(old, new, ["line"], **how)
 
-    def graph(self) -> graph.Graph:
-        return graph.Graph(self.t("nodes"), self.t("edges"))
+    def graph(self, looped: bool) -> graph.Graph:
+        """The SQL of queries of nodes and edges leaves loops out with what hangs from them; ``all_`` queries don't."""
+        return graph.Graph(self.t("nodes"), self.t("edges"), looped)
 
     def own_graph(self) -> graph.Graph:
         c = self.commits
@@ -128,8 +129,7 @@ def _topological(s: _Store) -> DataFrame:
     return s.own_graph().topological()
 
 
-def _reach(s: _Store) -> DataFrame:
-    g = s.graph()
+def _reach(g: graph.Graph) -> DataFrame:
     tops = g.children().filter("n_children = 0").select(F.col("id").alias("start"), "id")
     return g.reach(tops).groupBy("start").agg(F.count("*").alias("n_reached"))
 
@@ -140,13 +140,11 @@ def _merge_pairs(g: graph.Graph) -> DataFrame:
     return first.join(second, "src").select(F.struct("left_id", "right_id").alias("pair"), "left_id", "right_id").distinct()
 
 
-def _merge_base(s: _Store) -> DataFrame:
-    g = s.graph()
+def _merge_base(g: graph.Graph) -> DataFrame:
     return g.common_ancestors(_merge_pairs(g)).select("pair.left_id", "pair.right_id", F.col("id").alias("base_id"))
 
 
-def _sparse(s: _Store) -> DataFrame:
-    g = s.graph()
+def _sparse(g: graph.Graph) -> DataFrame:
     pairs = g.children().filter("n_children = 0").join(g.tree.select("id", "root_id"), "id").select(F.col("id").alias("pair"), F.col("id").alias("left_id"), F.col("root_id").alias("right_id"))
     return g.passes(pairs, g.merges.select(F.col("src").alias("id"))).withColumnRenamed("pair", "id")
 
@@ -191,8 +189,7 @@ def _missing(s: _Store) -> DataFrame:
     return sync.missing_ids(wanted, s.t("objects").select("id").unionByName(s.t("base_objects").select("id")))
 
 
-def _shallow(s: _Store) -> DataFrame:
-    g = s.graph()
+def _shallow(g: graph.Graph) -> DataFrame:
     return sync.shallow(g, g.children().filter("n_children = 0").select(F.col("id").alias("start"), "id"), 5)
 
 
@@ -296,6 +293,16 @@ def _walk(s: _Store) -> DataFrame:
     return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).dropna().distinct()
 
 
+GRAPH: dict[str, Callable[[graph.Graph], DataFrame]] = {
+    "graph_depth": lambda g: g.depths(), "graph_children": lambda g: g.children(), "graph_reach": _reach,
+    "merge_base": _merge_base, "sparse_path": _sparse, "sync_shallow": _shallow,
+}
+
+
+def _of_graph(f: Callable[[graph.Graph], DataFrame], looped: bool) -> Callable[[_Store], DataFrame]:
+    return lambda s: f(s.graph(looped))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "diff_full": lambda s: s.diff().select(SIDES),
@@ -338,12 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "commit_before": _before,
         "statistics": lambda s: log.statistics(s.log_commits()),
         "graph_edges": lambda s: graph.commit_edges(s.commits),
-        "graph_depth": lambda s: s.graph().depths(),
-        "graph_children": lambda s: s.graph().children(),
         "graph_topological": _topological,
-        "graph_reach": _reach,
-        "merge_base": _merge_base,
-        "sparse_path": _sparse,
         "walk_graph": _walk,
         "blame": _blame,
         "feature_history": _history,
@@ -355,7 +357,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "patch_apply": _apply,
         "patch_lines": lambda s: patch.read_patch_lines(patch.patch_lines(s.diff(), s.texts())),
         "sync_missing": _missing,
-        "sync_shallow": _shallow,
         "sync_fast_forward": _forward,
         "sync_refs": _outdated,
         "osm_map": _osm_map,
@@ -371,6 +372,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resolve_short_ref": _short,
         "object_kinds": _kinds,
     }
+    for name, f in GRAPH.items():
+        q |= {name: _of_graph(f, False), "all_" + name: _of_graph(f, True)}
     return {name: _q(f) for name, f in q.items()}
 
 

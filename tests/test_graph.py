@@ -41,3 +41,26 @@ def test_against_brute_force(spark):
     got = dict(rows(g.passes(df, marked)))
     assert got == {f"{a}-{b}": names[12] in reach(a, up) and b in reach(names[12], up) for a, b in pairs}
     assert dict(rows(g.children().select("id", "n_children"))) == {n: sum(n in ps for ps in up.values()) for n in names}
+
+
+def test_loops_against_brute_force(spark):
+    # a > b > c > a is a loop with x, y below; y merges into t > r; s > s hangs on itself; u only has a second parent
+    links = [("a", "b", 0), ("b", "c", 0), ("c", "a", 0), ("x", "a", 0), ("y", "x", 0), ("y", "t", 1), ("t", "r", 0), ("z", "y", 0), ("w", "x", 0), ("w", "t", 1), ("s", "s", 0), ("q", "s", 0), ("u", "r", 1)]
+    names = sorted({n for a, b, _ in links for n in (a, b)})
+    up = {n: [b for a, b, _ in links if a == n] for n in names}
+    g = graph.Graph(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(links, "src string, dst string, ord int"))
+    assert rows(g.children()) == sorted((n, sum(n in p for p in up.values()), len(up[n])) for n in names)
+    assert rows(g.reach(spark.createDataFrame([(n, n) for n in names], "start string, id string"))) == sorted((n, m) for n in names for m in reach(n, up))
+    low = {n: None if up[n] else 0 for n in names}
+    for _ in names:
+        low = {n: min([1 + low[p] for p in up[n] if low[p] is not None], default=None) if up[n] else 0 for n in names}
+    assert dict(rows(g.depths())) == low
+    pairs = [("y", "w"), ("z", "c"), ("x", "w"), ("t", "u"), ("q", "s"), ("b", "c"), ("q", "r")]
+    want = set()
+    for a, b in pairs:
+        both = reach(a, up) & reach(b, up)
+        want |= {(f"{a}-{b}", c) for c in both if not any(c in reach(x, up) and x not in reach(c, up) for x in both)}
+    df = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in pairs], "pair string, left_id string, right_id string")
+    assert set(rows(g.common_ancestors(df))) == want
+    got = rows(g.first_parents(spark.createDataFrame([("z", "z"), ("b", "b"), ("q", "q")], "start string, id string")))
+    assert got == sorted([("z", n, i) for i, n in enumerate("zyxabc")] + [("b", n, i) for i, n in enumerate("bca")] + [("q", "q", 0), ("q", "s", 1)])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dangling, hierarchy, membership, snapshots, versions
+from ..workspace import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.node_paths(tree.filter("node_depth >= 0")).join(tree.select("id", "n_descendants"), "id")
 
 
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node, also those running into loops, whose paths and intervals count from the loop's node.
+
+    ``b`` descends from ``a`` if both have the same ``tour_root``, ``b.entry < a.entry`` and ``b.exit > a.exit``;
+    the nodes of one loop and all below them, ``looped`` with the same ``root_id``, also descend from each of the loop's (depth 0 in the path).
+    """
+    tree = materialize(hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges")))
+    return hierarchy.node_paths(tree).join(tree.withColumn("looped", F.col("node_depth") < 0), "id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return membership.seen_before(table(spark, d, "objects"), table(spark, d, "base_objects"))
 
@@ -52,7 +63,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_paths, p3_found, p3_error_rate, p4_found, p5_found, p5_counts)
+    found = (p1_found, p2_found, p2_paths, p2_nodes, p3_found, p3_error_rate, p4_found, p5_found, p5_counts)
     return {f.__name__: f for f in found}
 
 

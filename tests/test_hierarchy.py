@@ -75,3 +75,17 @@ def test_loops_larger_than_a_task(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 20) for i in range(20)] + [(20 + i, 20 + (i + 1) % 3) for i in range(3)] + [(30, 2)], "v long, p long")
     got = {r["v"]: r["loop"] for r in h.loops(ring, base_rows=2).collect()}
     assert got == {**{i: 0 for i in range(20)}, **{20 + i: 20 for i in range(3)}}
+
+
+def test_every_node_has_path_and_interval(spark, tmp_path):
+    from chronofold.plans import problems
+
+    n, e = tables(spark, "abcxyr", [("a", "b", 0), ("b", "a", 0), ("x", "a", 0), ("y", "x", 0), ("c", "r", 0)])
+    n.write.parquet(str(tmp_path / "nodes.parquet"))
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    got = {r["id"]: r for r in problems.p2_nodes(spark, str(tmp_path)).collect()}
+    assert {k: (r["path"], r["looped"], r["n_descendants"]) for k, r in got.items()} == {
+        "a": ("a", True, 2), "b": ("b", True, 0), "x": ("a/x", True, 1), "y": ("a/x/y", True, 0), "r": ("r", False, 1), "c": ("r/c", False, 0)
+    }
+    below = {(p, q) for p, a in got.items() for q, b in got.items() if a["tour_root"] == b["tour_root"] and b["entry"] < a["entry"] and b["exit"] > a["exit"]}
+    assert below == {("a", "x"), ("a", "y"), ("x", "y"), ("r", "c")}

@@ -1,7 +1,7 @@
 """A repository on disk: listings and objects as Parquet tables, names and settings as small JSON files.
 
-Every root tree is a full listing below ``trees/<id>``; objects are appended to ``objects``; commits, tags and
-conflicts are JSON lines, as they are few. Names are replaced atomically, with a check of the old value.
+Every root tree is a full listing below ``trees/<id>``; objects are appended to ``objects``; commits and
+tags are JSON lines, as they are few; conflicts are a Parquet table below ``conflicts``. Names are replaced atomically, with a check of the old value.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .operators import patch as patches
 from .operators.snapshots import PATH
 
 LISTING = "parent_path string, ref_name string, ref_type string, object_id string, metadata_id string, minx double, maxx double, miny double, maxy double"
+CONFLICTS = "parent_path string, ref_name string, ancestor string, ours string, theirs string"
 EMPTY = "empty"
 
 
@@ -309,7 +310,7 @@ class Repo:
     def status(self) -> dict[str, int]:
         """How many staged and unstaged changes and conflicts there are."""
         return {
-            "staged": self.diff("HEAD", "STAGE_HEAD").count(), "unstaged": self.diff("STAGE_HEAD", "WORK_HEAD").count(), "conflicts": len(self.conflicts()),
+            "staged": self.diff("HEAD", "STAGE_HEAD").count(), "unstaged": self.diff("STAGE_HEAD", "WORK_HEAD").count(), "conflicts": self.open_conflicts().count(),
         }
 
     def clean(self, path: str = "") -> None:
@@ -322,7 +323,7 @@ class Repo:
     def commit(self, message: str, author: str | None = None, when: int | None = None, all: bool = False, amend: bool = False, allow_empty: bool = False, parents: list[str] | None = None) -> str:
         """Commit the index; ``all`` stages everything first. An unchanged index is refused unless ``allow_empty``."""
         self._fire("pre_commit", message=message)
-        if self.conflicts():
+        if self.open_conflicts().limit(1).count():
             raise ConflictError("there are conflicts left")
         if all:
             self.add()
@@ -448,13 +449,33 @@ class Repo:
             self.update_ref("STAGE_HEAD", self.tree_of(commit))
         if mode == "HARD":
             self.update_ref("WORK_HEAD", self.tree_of(commit))
-            self._write("conflicts.json", [])
+            self._keep_conflicts(None)
             self.update_ref("MERGE_HEAD", None)
 
     # -- merging ------------------------------------------------------------------------------------------
 
+    def open_conflicts(self) -> DataFrame:
+        """``parent_path ref_name ancestor ours theirs`` of every undecided path."""
+        at = self._read("conflicts.json", "")
+        if isinstance(at, list):  # as earlier versions stored them
+            return self.spark.createDataFrame([tuple(c[k] for k in (*PATH, "ancestor", "ours", "theirs")) for c in at], CONFLICTS)
+        return self.spark.read.schema(CONFLICTS).parquet(self._file("conflicts", at)) if at else self.spark.createDataFrame([], CONFLICTS)
+
     def conflicts(self) -> list[dict]:
-        return self._read("conflicts.json", [])
+        """All of :meth:`open_conflicts` on the driver; for many, use the table."""
+        return [r.asDict() for r in self.open_conflicts().collect()]
+
+    def _keep_conflicts(self, open_: DataFrame | None) -> None:
+        """Replace the stored conflicts."""
+        before, name = self._read("conflicts.json", ""), uuid.uuid4().hex
+        n = 0
+        if open_ is not None:
+            open_.write.parquet(self._file("conflicts", name))
+            n = self.spark.read.schema(CONFLICTS).parquet(self._file("conflicts", name)).count()
+        self._write("conflicts.json", name if n else "")
+        for old in [before, "" if n else name]:
+            if old and isinstance(old, str):
+                shutil.rmtree(self._file("conflicts", old), ignore_errors=True)
 
     def resolve_conflict(self, parent_path: str, ref_name: str, object_id: str | None) -> None:
         """Decide a conflict by the object the path is to have, or null to remove it."""
@@ -463,10 +484,11 @@ class Repo:
             new = self.spark.createDataFrame([(parent_path, ref_name, "FEATURE", object_id, None, None, None, None, None)], LISTING)
             work = work.unionByName(new)
         self._set_trees(self._store(work))
-        self._write("conflicts.json", [c for c in self.conflicts() if (c["parent_path"], c["ref_name"]) != (parent_path, ref_name)])
+        here = F.col("parent_path").eqNullSafe(F.lit(parent_path)) & F.col("ref_name").eqNullSafe(F.lit(ref_name))
+        self._keep_conflicts(self.open_conflicts().filter(~here))
 
-    def _merge_trees(self, ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, prefer: str | None) -> tuple[DataFrame, list[dict]]:
-        """The merged listing, and the conflicts that ``prefer`` (ours or theirs) doesn't settle."""
+    def _merge_trees(self, ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, prefer: str | None) -> tuple[DataFrame, int]:
+        """The merged listing; stores the conflicts that ``prefer`` (ours or theirs) doesn't settle, and counts them."""
         from .workspace import materialize
 
         classes = materialize(merges.classify(ancestor, ours, theirs))
@@ -482,7 +504,10 @@ class Repo:
         out = merges.apply_changes(ours, theirs_diff.join(wanted, PATH, "left_semi"))
         repl = fine.select(*PATH, F.col("object_id").alias("_new"))
         out = out.join(repl, PATH, "left").withColumn("object_id", F.coalesce("_new", "object_id")).drop("_new")
-        left = [] if prefer else [r.asDict() for r in open_.select(*PATH, "ancestor", "ours", "theirs").limit(100_000).collect()]
+        open_ = materialize(open_.select(*PATH, "ancestor", "ours", "theirs"))
+        left = 0 if prefer else open_.count()
+        if left:
+            self._keep_conflicts(open_)
         return out, left
 
     def merge(self, other: str, message: str | None = None, prefer: str | None = None, commit: bool = True) -> str:
@@ -502,8 +527,7 @@ class Repo:
         self._set_trees(self._store(tree))
         self.update_ref("MERGE_HEAD", them)
         if left:
-            self._write("conflicts.json", left)
-            raise ConflictError(f"{len(left)} conflicts")
+            raise ConflictError(f"{left} conflicts")
         return self.commit(message or f"Merge {other}") if commit else self.head
 
     def _replay(self, change_from: str, change_to: str, message: str, author: str, commit: bool = True) -> str | None:
@@ -511,8 +535,7 @@ class Repo:
         tree, left = self._merge_trees(self.nodes(change_from), self.nodes("HEAD"), self.nodes(change_to), None)
         self._set_trees(self._store(tree))
         if left:
-            self._write("conflicts.json", left)
-            raise ConflictError(f"{len(left)} conflicts")
+            raise ConflictError(f"{left} conflicts")
         return self.commit(message, author, allow_empty=True) if commit else None
 
     def cherry_pick(self, spec: str) -> str:

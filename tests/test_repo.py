@@ -127,3 +127,17 @@ def test_sources(repo, spark, tmp_path):
     assert rows(t) == [("Points.1", "StringProp1_1", 1000), ("Points.2", "StringProp1_2", 2000)]
     assert tables.describe(t)["ip"] == "int" and tables.adapt(t, "ip long, z string").first()["z"] is None
     assert tables.jdbc_options("postgis", "d", port=1)["url"] == "jdbc:postgresql://localhost:1/d"
+
+
+def test_no_conflict_is_lost(repo, spark):
+    n = 100_005
+    side = lambda object_id: spark.range(n).selectExpr(
+        "'Many' as parent_path", "cast(id as string) as ref_name", "'FEATURE' as ref_type", f"'{object_id}' as object_id", "cast(null as string) as metadata_id",
+        *[f"cast(null as double) as {c}" for c in ("minx", "maxx", "miny", "maxy")],
+    )
+    _, left = repo._merge_trees(side("0").limit(0), side("1"), side("2"), None)
+    assert left == n and repo.status()["conflicts"] == n
+    repo.resolve_conflict("Many", "7", "2")
+    assert repo.open_conflicts().count() == n - 1 and repo.open_conflicts().filter("ref_name = '7'").count() == 0
+    with pytest.raises(ConflictError):
+        repo.commit("no")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension table may be broadcast; about 100 bytes a row, so some 40 MB at most.
+#: Rows up to which a dimension table may be broadcast; some 200 bytes a row, so about 80 MB at most.
 BROADCAST_ROWS = 400_000
 
 #: Partitions up to which their first numbers are looked up in a literal map, and beyond which in a broadcast table.
@@ -19,14 +21,31 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; unset, a temporary one on a local master and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Delete the tables written in the block when it ends; results must be consumed inside it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            if (spark := _made.pop(path, None)) is not None:
+                _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +66,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/chronofold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made[path] = spark
+    if _scopes:
+        _scopes[-1].append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._chronofold_path = path
     return back

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dangling, hierarchy, membership, snapshots, versions
+from ..operators import dangling, hierarchy, snapshots, versions
 from ..workspace import materialize
 
 
@@ -38,14 +38,6 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.node_paths(tree).join(tree.withColumn("looped", F.col("node_depth") < 0), "id")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return membership.seen_before(table(spark, d, "objects"), table(spark, d, "base_objects"))
-
-
-def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    return membership.wrong_answers(table(spark, d, "objects"), table(spark, d, "base_objects"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "commits"), table(spark, d, "tree_refs"))
 
@@ -63,7 +55,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_paths, p2_nodes, p3_found, p3_error_rate, p4_found, p5_found, p5_counts)
+    found = (p1_found, p2_found, p2_paths, p2_nodes, p4_found, p5_found, p5_counts)
     return {f.__name__: f for f in found}
 
 
@@ -115,10 +107,6 @@ def oracle_sql() -> dict[str, str]:
     select id, root_id, node_depth from walk union all select id, root_id, -1 from low"""
     paths = """select w.id, any_value(w.path) as path, count(d.id) as n_descendants from walk w
     left join walk d on starts_with(d.path, w.path || '/') and d.root_id = w.root_id group by w.id"""
-    seen = f"""with o as (select put_seq, {norm('id')} as id from objects),
-    m as (select id, min(put_seq) as first_seq from o where id is not null group by id)
-    select o.put_seq from o join m on o.id = m.id where o.put_seq > m.first_seq
-    or o.id in (select {norm('id')} from base_objects where {norm('id')} is not null)"""
     orphans = f"""with c as (select {norm('commit_id')} as commit_id, {norm('tree')} as tree, parents, received_at from commits),
     t as (select commit_id, min(received_at) as received from c where commit_id is not null group by 1),
     r as (select distinct commit_id, 'tree' as ref_field, tree as ref_id from c where tree is not null
@@ -134,7 +122,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": runs,
         "p2_found": tree + loops,
         "p2_paths": tree + paths,
-        "p3_found": seen,
         "p4_found": changes,
         "p5_found": orphans + " select commit_id, ref_field, ref_id, status from found where status is not null",
         "p5_counts": orphans + " select ref_field, period, status, count(*) as n_refs, count(distinct ref_id) as n_ids from found where status is not null group by 1, 2, 3",

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
 from .tokens import norm_source, with_tokens
 
+#: Sources that may have a target; more are an error. For each, one row comes to the driver at a time.
+MOST_SOURCES = 10_000
 #: Bits of a document's hash, and how many of them one histogram tells apart.
 HASH_BITS, STEP_BITS = 60, 12
 
@@ -36,8 +38,10 @@ def _quotas(targets: DataFrame) -> dict[str, Quota]:
     rows = (
         targets.select(norm_source(F.col("source")).alias("source"), "target_share", "max_repeats")
         .filter("source is not null and target_share > 0")
-        .groupBy("source").agg(F.sum("target_share").alias("s"), F.max("max_repeats").alias("r")).orderBy("source").limit(100_000).collect()
+        .groupBy("source").agg(F.sum("target_share").alias("s"), F.max("max_repeats").alias("r")).orderBy("source").limit(MOST_SOURCES + 1).collect()
     )
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     total = sum(r["s"] for r in rows)
     return {r["source"]: Quota(r["s"] / total, max(0, r["r"] if r["r"] is not None else 1)) for r in rows}
 
@@ -63,47 +67,44 @@ def _budgets(quotas: dict[str, Quota], total: int | None) -> None:
 
 
 def _thresholds(counted: DataFrame, quotas: dict[str, Quota], total: int | None) -> None:
-    """Find each source's threshold: histograms over hash prefixes, refining only the bucket the budget ends in."""
-    h = F.col("h")
-    # source -> (prefix, tokens still wanted from the bucket)
-    edge: dict[str, tuple[int, float]] = {}
-    known: dict[str, list] = {}
-    first = counted.groupBy("source", F.shiftright(h, HASH_BITS - STEP_BITS).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
-    for r in first.collect():
-        known.setdefault(r["source"], []).append((r["b"], r["n"], r["docs"]))
-    for s, rows in known.items():
-        quotas[s].tokens, quotas[s].docs = sum(n for _, n, _ in rows), sum(d for *_, d in rows)
+    """Find each source's threshold: histograms over hash prefixes, refining only the bucket the budget ends in.
+
+    A histogram has at most 2^STEP_BITS buckets a source and is summed up in Spark; the driver receives one row
+    a source: its boundary bucket.
+    """
+    spark, h = counted.sparkSession, F.col("h")
+    for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect():
+        quotas[r["source"]].tokens, quotas[r["source"]].docs = r["n"], r["docs"]
     _budgets(quotas, total)
+    edge: list[tuple[str, int, float]] = []  # source, prefix of the bucket, tokens still wanted from it
     for s, q in quotas.items():
         if q.tokens > 0 and q.budget > 0:
             q.full = min(q.repeats, int(q.budget / q.tokens + 1e-12))
-            edge[s] = (0, q.budget - q.full * q.tokens if q.full < q.repeats else 0.0)
-    bits = STEP_BITS
-    while edge:
-        more = {}
-        for s, (prefix, want) in edge.items():
-            q, at = quotas[s], sorted(known.get(s, []))
-            q.below = prefix << (HASH_BITS - bits + STEP_BITS) if bits > STEP_BITS else 0
-            for b, n, docs in at:
-                if n <= want + 1e-9:
-                    want -= n
-                    q.below = (b + 1) << (HASH_BITS - bits)
-                    continue
-                q.below = b << (HASH_BITS - bits)
-                if docs > 1 and bits < HASH_BITS:
-                    more[s] = (b, want)
-                elif docs == 1 and want > n / 2:  # nearer with the document than without
-                    q.below = (b + 1) << (HASH_BITS - bits)
-                break
-        edge, known, bits = more, {}, bits + STEP_BITS
-        if edge:
-            inside = None
-            for s, (b, _) in edge.items():
-                one = (F.col("source") == s) & (F.shiftright(h, HASH_BITS - bits + STEP_BITS) == b)
-                inside = one if inside is None else inside | one
-            next_bits = F.shiftright(h, HASH_BITS - bits).alias("b")
-            for r in counted.filter(inside).groupBy("source", next_bits).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect():
-                known.setdefault(r["source"], []).append((r["b"], r["n"], r["docs"]))
+            edge.append((s, 0, q.budget - q.full * q.tokens if q.full < q.repeats else 0.0))
+    bits = 0
+    while edge and bits < HASH_BITS:
+        inside = F.broadcast(spark.createDataFrame(edge, "source string, prefix long, want double"))
+        bits += STEP_BITS
+        rows = counted.join(inside, "source").filter(F.shiftright(h, HASH_BITS - bits + STEP_BITS) == F.col("prefix"))
+        hist = rows.groupBy("source", "want", F.shiftright(h, HASH_BITS - bits).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
+        up_to = Window.partitionBy("source").orderBy("b")
+        summed = hist.withColumn("sum", F.sum("n").over(up_to))
+        # the first bucket that doesn't fit any more, and what the ones before it hold
+        first = summed.filter(F.col("sum") > F.col("want") + 1e-9).groupBy("source").agg(F.min(F.struct("b", "sum", "n", "docs", "want")).alias("x"))
+        got = {r["source"]: r["x"] for r in first.collect()}
+        more = []
+        for s, prefix, _ in edge:
+            q, x = quotas[s], got.get(s)
+            if x is None:  # all of the bucket fits
+                q.below = (prefix + 1) << (HASH_BITS - bits + STEP_BITS)
+                continue
+            q.below = x["b"] << (HASH_BITS - bits)
+            left = x["want"] - (x["sum"] - x["n"])
+            if x["docs"] > 1:
+                more.append((s, x["b"], left))
+            elif left > x["n"] / 2:  # nearer with the document than without
+                q.below = (x["b"] + 1) << (HASH_BITS - bits)
+        edge = more
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokens: DataFrame | None = None) -> tuple[DataFrame, dict[str, Quota]]:
@@ -128,11 +129,9 @@ def mix_documents(docs: DataFrame, targets: DataFrame, total_tokens: int | None
     hash says so. Empty tables give no rows.
     """
     counted, quotas = plan_mix(docs, targets, total_tokens, tokens)
-    copies = F.lit(0)
-    for s, q in quotas.items():
-        own = F.lit(q.full) + F.when(F.col("h") < q.below, 1).otherwise(0)
-        copies = F.when(F.col("source") == s, own).otherwise(copies)
-    return counted.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
+    plan = counted.sparkSession.createDataFrame([(s, q.full, q.below) for s, q in quotas.items()], "source string, full int, below long")
+    copies = F.col("full") + (F.col("h") < F.col("below")).cast("int")
+    return counted.join(F.broadcast(plan), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokens: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,11 @@ from .tokens import with_tokens
 BLOCK = 4096
 #: A container takes one document for each so many tokens of its capacity, and at least four.
 TOKENS_A_DOCUMENT = 64
+#: Attention cost a container takes, as a share of the square of its capacity in tokens. One text of more than
+#: sqrt(0.9) = 95 % of the capacity is above it and so stays alone; shares of 1 and more never bind.
+ATTENTION_SHARE = 0.9
+#: Kinds of containers that may be asked for; more are an error.
+MOST_KINDS = 1000
 #: Weights of the residual token, document-count and attention-cost capacities.
 WEIGHTS = (1.0, 0.25, 0.25)
 
@@ -59,7 +64,7 @@ def best_fit(sizes: np.ndarray, capacity: int, documents: int, cost: float, by:
     return out
 
 
-def _pack(t: pd.DataFrame, kinds: list[tuple[str, int]], by: str) -> pd.DataFrame:
+def _pack(t: pd.DataFrame, kinds: list[tuple[str, int]], by: str, attention: float, tokens_a_document: int) -> pd.DataFrame:
     ids, tokens = t["doc_id"].to_numpy(), t["n_tokens"].to_numpy()
     order = np.lexsort((ids, -tokens))
     ids, tokens, block = ids[order], tokens[order], int(t["block"].iat[0])
@@ -72,7 +77,7 @@ def _pack(t: pd.DataFrame, kinds: list[tuple[str, int]], by: str) -> pd.DataFram
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
         whole = np.flatnonzero(rest > 0)
         whole = whole[np.argsort(-rest[whole], kind="stable")]
-        bins = best_fit(rest[whole], capacity, max(4, capacity // TOKENS_A_DOCUMENT), float(capacity) ** 2, by)
+        bins = best_fit(rest[whole], capacity, max(4, capacity // tokens_a_document), attention * float(capacity) ** 2, by)
         at = np.concatenate((doc, whole))
         start = np.concatenate((piece * capacity, full[whole] * capacity))
         size = np.concatenate((np.full(len(doc), capacity), rest[whole]))
@@ -93,21 +98,25 @@ def _pack(t: pd.DataFrame, kinds: list[tuple[str, int]], by: str) -> pd.DataFram
     return out.astype({"container_id": "Int64", "item_no": "int32"})
 
 
-def pack_documents(docs: DataFrame, sizes: DataFrame, block: int = BLOCK, by: str = "norm", tokens: DataFrame | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, sizes: DataFrame, block: int = BLOCK, by: str = "norm", tokens: DataFrame | None = None, attention: float = ATTENTION_SHARE, tokens_a_document: int = TOKENS_A_DOCUMENT) -> DataFrame:
     """The contents of containers of every kind in ``sizes``, one row for each text or piece of a text.
 
     ``container_kind container_id item_no doc_id token_from token_to container_tokens unused_tokens``: the
     tokens ``[token_from, token_to)`` of ``doc_id`` are in that container. Each text is in one container of
     each kind; only one longer than the capacity is cut, into full containers and a rest that is packed
-    like a text. Texts without tokens (null or empty) take no space: one row a kind with a null container.
+    like a text. A container takes ``capacity_tokens`` tokens, a document for each ``tokens_a_document`` of them (at
+    least four), and an attention cost, the sum of its texts' squared tokens, of ``attention`` times the square of
+    ``capacity_tokens``; only a text that alone costs more is above that, and then alone. Texts without tokens (null or empty) take no space: one row a kind with a null container.
     Repeated rows are texts of their own. Blocks of about ``block`` texts, by hash of the id, are packed
     apart, so tasks are alike at any size and at most a few containers a block stay part empty. Kinds of
     null or non-positive capacity are ignored; ``sizes`` is a fixed table of a few rows.
     """
     kinds = [
         (r["container_kind"], int(r["capacity_tokens"]))
-        for r in sizes.select("container_kind", "capacity_tokens").distinct().filter("capacity_tokens > 0").orderBy("capacity_tokens").limit(1000).collect()
+        for r in sizes.select("container_kind", "capacity_tokens").distinct().filter("capacity_tokens > 0").orderBy("capacity_tokens", "container_kind").limit(MOST_KINDS + 1).collect()
     ]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     counted = materialize((tokens if tokens is not None else with_tokens(docs)).select("doc_id", "n_tokens"))
     blocks = max(1, -(-counted.count() // block))
     placed = counted.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
@@ -115,14 +124,23 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, block: int = BLOCK, by: st
         return counted.sparkSession.createDataFrame([], CONTENTS)
     # numbers of tokens are small but packing them isn't: as many tasks as blocks, not as their bytes would ask for
     spread = placed.repartition(min(blocks, 20_000), "block")
-    return spread.groupBy("block").applyInPandas(lambda t: _pack(t, kinds, by), CONTENTS)
+    return spread.groupBy("block").applyInPandas(lambda t: _pack(t, kinds, by, attention, tokens_a_document), CONTENTS)
 
 
 def fill_report(contents: DataFrame, sizes: DataFrame) -> DataFrame:
-    """For each kind: containers, texts, cut texts, texts without tokens, tokens, unused tokens, and the filled share."""
+    """For each kind: containers, texts, texts without tokens, tokens, unused tokens, the filled share, and the most a container holds.
+
+    ``most_documents`` is the largest number of texts in a container, ``most_attention`` the largest attention
+    cost of one with several, as a share of the square of its capacity.
+    """
     one = F.col("item_no") == 0
     held = F.col("container_id").isNotNull()
-    return (
+    size = (F.col("token_to") - F.col("token_from")).cast("double")
+    boxes = contents.filter(held).groupBy("container_kind", "container_id").agg(
+        F.count("*").alias("n"), (F.sum(size * size) / F.pow(F.first(F.col("container_tokens") + F.col("unused_tokens")), F.lit(2))).alias("cost")
+    )
+    most = boxes.groupBy("container_kind").agg(F.max("n").alias("most_documents"), F.max(F.when(F.col("n") > 1, F.col("cost"))).alias("most_attention"))
+    report = (
         contents.groupBy("container_kind")
         .agg(
             F.count(F.when(one & held, 1)).alias("containers"),
@@ -133,3 +151,4 @@ def fill_report(contents: DataFrame, sizes: DataFrame) -> DataFrame:
         )
         .withColumn("filled_share", F.when(F.col("containers") > 0, F.col("tokens") / (F.col("tokens") + F.col("unused_tokens"))))
     )
+    return report.join(most, "container_kind", "left")

@@ -63,7 +63,9 @@ def test_finds_areas_without_labels_in_a_language(spark):
         sents = [" ".join(rnd.sample(french, 5) + rnd.sample(own, 3)).capitalize() + "." for _ in range(8)]
         docs.append((i, r"\begin{document}" + " ".join(sents) + r"\end{document}", "x"))
         truth[i] = {area}
-    d = spark.createDataFrame(docs, "doc_id long, text string, subject string")
+    # labels of languages may be wrong, missing or written otherwise
+    label = lambda i: rnd.choice([None, "EN ", "fr"]) if i % 10 == 3 else "fr" if i >= 1000 else "en"
+    d = spark.createDataFrame([(*x, label(x[0])) for x in docs], "doc_id long, text string, subject string, lang string")
     hidden = {"stars": set(range(1000, 1120)), "weaving": set(truth)}  # no French label; no label at all
     labels = [(i, a, 1) for i in truth if i % 2 == 0 or i >= 1000 for a in truth[i] if i not in hidden.get(a, ())]
     su = [(a, "things " + " ".join(WORDS[a][:6] if a == "weaving" else [])) for a in AREAS]
@@ -76,3 +78,23 @@ def test_finds_areas_without_labels_in_a_language(spark):
         assert sum(area in got.get(i, ()) for i in these) >= 0.9 * len(these)
         others = [i for i in ids if area not in truth[i]]
         assert sum(area in got.get(i, ()) for i in others) <= 0.05 * len(others)
+
+
+def test_subjects_come_from_vectors_and_centroids(spark):
+    docs, truth = corpus(5, 120)
+    d = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    la = spark.createDataFrame([(i, next(iter(truth[i])), 1) for i in range(0, 120, 2)], "doc_id long, subject string, labeler int")
+    table = s.document_terms(d)
+    model = s.fit(table, la, sorted(AREAS))
+    batch = table.toArrow().combine_chunks().to_batches()[0]
+    right = s._sentence_counts(batch, model).argmax(axis=1)
+    model.centroids = model.centroids[:, ::-1]
+    assert (s._sentence_counts(batch, model).argmax(axis=1) == len(AREAS) - 1 - right).mean() > 0.9
+
+
+def test_too_many_subjects_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(s, "MOST_SUBJECTS", 2)
+    with pytest.raises(ValueError):
+        s.subject_names(spark.createDataFrame([(a, "d") for a in AREAS], "subject string, description string"))

@@ -52,27 +52,45 @@ def bitmaps(coded: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def and_not(references: DataFrame, parents: DataFrame) -> DataFrame:
-    """``code period ref_field`` of references that no parent of an earlier period answers.
-
-    ``references`` are :func:`bitmaps` by period and ref_field, ``parents`` by the period from which the
-    keys exist. A key range's bitmaps meet in one task: a few for each period, 8 KB at most each.
+def unanswered(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """``code period ref_field status`` of references left over by the bitmaps of what they may refer to.
+
+    ``references`` are :func:`bitmaps` by period and ref_field, ``parents`` by ``state`` (``base``, ``alive`` or
+    ``deleted``) and the period from which the keys exist. A reference AND NOT all parents is ``missing``; AND NOT base
+    and alive ones it is ``deleted``; what is left AND NOT the parents of the reference's own and earlier periods is
+    ``late``; and those that a parent of the same period answers are ``same``, to be told by their times. References of
+    unknown period (-1) are never late. A key range's bitmaps meet in one task: a few for each period, 8 KB at most each.
     """
+    columns = {"code": "int64", "period": "int32", "ref_field": "object", "status": "object"}
 
     def work(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        sound, at, out = np.zeros(1 << RANGE_BITS, bool), 0, []
-        known = known.sort_values("period")
-        since, bits = known["period"].to_numpy(), known["bits"].tolist()
-        for period, field, packed, key_range in refs.sort_values("period")[["period", "ref_field", "bits", "key_range"]].itertuples(index=False):
+        there = {s: np.zeros(1 << RANGE_BITS, bool) for s in ("base", "alive", "deleted")}
+        for state, packed in zip(known["state"], known["bits"]):
+            there[state][unpack(packed)] = True
+        sound = there["base"] | there["alive"]
+        alive = known[known["state"] == "alive"].sort_values("period")
+        since, bits, at = alive["period"].to_numpy(), alive["bits"].tolist(), 0
+        before, out = there["base"].copy(), []
+        for period, group in refs.groupby("period", sort=True):
             while at < len(since) and since[at] < period:
-                sound[unpack(bits[at])] = True
+                before[unpack(bits[at])] = True
                 at += 1
-            offsets = unpack(packed)
-            left = offsets[~sound[offsets]].astype(np.int64)
-            out.append(pd.DataFrame({"code": left + (key_range << RANGE_BITS), "period": period, "ref_field": field}))
-        return pd.concat(out) if out else pd.DataFrame({"code": [], "period": [], "ref_field": []}).astype({"code": int, "period": int, "ref_field": str})
-
-    return references.groupBy("key_range").cogroup(parents.groupBy("key_range")).applyInPandas(work, "code long, period int, ref_field string")
+            now = before.copy()
+            if at < len(since) and since[at] == period:
+                now[unpack(bits[at])] = True
+            for field, packed, key_range in zip(group["ref_field"], group["bits"], group["key_range"]):
+                offsets = unpack(packed)
+                gone = there["deleted"][offsets] & ~sound[offsets]
+                left = {"missing": offsets[~sound[offsets] & ~gone], "deleted": offsets[gone]}
+                if period >= 0:
+                    left["late"] = offsets[sound[offsets] & ~now[offsets]]
+                    left["same"] = offsets[now[offsets] & ~before[offsets]]
+                for status, rest in left.items():
+                    out.append(pd.DataFrame({"code": rest.astype(np.int64) + (key_range << RANGE_BITS), "period": period, "ref_field": field, "status": status}))
+        return pd.concat(out).astype(columns) if out else pd.DataFrame({c: [] for c in columns}).astype(columns)
+
+    schema = "code long, period int, ref_field string, status string"
+    return references.groupBy("key_range").cogroup(parents.groupBy("key_range")).applyInPandas(work, schema)
 
 
 def commit_references(commits: DataFrame) -> DataFrame:
@@ -105,10 +123,10 @@ def dangling_references(commits: DataFrame, objects: DataFrame, base: DataFrame,
     receipt of a put after the commit's first receipt. Keys in ``base`` are always there. ``period`` is the
     month (``yyyy-mm``) of the commit's first receipt.
 
-    All keys get integers; references and sound objects (base, or put and not deleted since) become
-    compressed bitmaps for each key range and month, the latter under the month from which the key exists.
-    Reference AND NOT sound-before leaves the dangling ones and those whose object came in the same month,
-    which are decided by their times. Null ids refer to nothing, null lists are empty, puts and deletions
+    All keys get integers; references become compressed bitmaps for each key range, month and field, and objects
+    for each key range, state and month from which they exist. AND NOT tells the status of every reference but
+    of those whose object came in the same month as the commit (:func:`unanswered`); only for these are times
+    looked up, and surviving bits are decoded by joining them to the coded references. Null ids refer to nothing, null lists are empty, puts and deletions
     without time count as put and as not deleted; empty tables give what the definition says.
     """
     none = F.lit(None).cast("timestamp")
@@ -125,23 +143,20 @@ def dangling_references(commits: DataFrame, objects: DataFrame, base: DataFrame,
         .agg(F.min("put").alias("first_put"), F.max("put").alias("last_put"), F.max("deleted").alias("last_deleted"), F.max("stored").alias("stored"), F.max("base").alias("base"))
         .select(
             F.monotonically_increasing_id().alias("code"), "key", "first_put",
-            F.when(F.col("base"), "base").when(~F.col("stored"), "missing").when(dead, "deleted").otherwise("sound").alias("state"),
+            F.when(F.col("base"), "base").when(F.col("stored"), F.when(dead, "deleted").otherwise("alive")).alias("state"),
         )
     )
     coded = materialize(
-        refs.join(keys, "key").select("commit_id", "ref_field", "ref_id", "received", "code", "first_put", "state", _month(F.col("received")).alias("period"))
-    )
-    since = F.when(F.col("state") == "base", F.lit(-2)).otherwise(_month(F.col("first_put")))
-    sound = bitmaps(keys.filter("state in ('base', 'sound')").select("code", since.alias("period")), ["period"])
-    left = and_not(bitmaps(coded.select("code", "period", "ref_field"), ["period", "ref_field"]), sound)
-    late = F.when(F.col("first_put") > F.col("received"), "late")
-    status = F.when(F.col("state").isin("missing", "deleted"), F.col("state")).when(F.col("state") == "sound", late)
-    return (
-        coded.join(left, ["code", "period", "ref_field"])
-        .withColumn("status", status)
-        .filter("status is not null")
-        .select("commit_id", "ref_field", "ref_id", "status", F.date_format("received", "yyyy-MM").alias("period"))
+        refs.join(keys.select("key", "code"), "key").select("commit_id", "ref_field", "ref_id", "received", "code", _month(F.col("received")).alias("period"))
     )
+    since = F.when(F.col("state") == "alive", _month(F.col("first_put"))).otherwise(F.lit(-2))
+    parents = bitmaps(keys.filter("state is not null").select("code", "state", since.alias("period")), ["state", "period"])
+    left = materialize(unanswered(bitmaps(coded.select("code", "period", "ref_field"), ["period", "ref_field"]), parents))
+    open_ = coded.join(left, ["code", "period", "ref_field"])
+    names = ["commit_id", "ref_field", "ref_id"]
+    by_time = open_.filter("status = 'same'").join(keys.select("code", "first_put"), "code").filter("first_put > received")
+    told = open_.filter("status <> 'same'").select(*names, "status", "received").unionByName(by_time.select(*names, F.lit("late").alias("status"), "received"))
+    return told.select(*names, "status", F.date_format("received", "yyyy-MM").alias("period"))
 
 
 def dangling_counts(found: DataFrame) -> DataFrame:

@@ -52,3 +52,21 @@ def test_empty(spark):
     assert rows(d.dangling_references(c, o, b, x)) == []
     c = spark.createDataFrame([("c", "t", None, None, "")], C)
     assert rows(d.dangling_references(c, o, b, x).drop("period")) == [("c", "tree", "t", "missing")]
+
+
+def test_status_comes_from_the_bitmaps(spark, monkeypatch):
+    here, gone, late, lost = (f"{i:040x}" for i in range(1, 5))
+    commits = spark.createDataFrame([("c", here, [gone, late, lost], T(50), "")], C)
+    objects = spark.createDataFrame([(here, T(1), ""), (gone, T(1), ""), (late, T(200), "")], O)
+    args = commits, objects, spark.createDataFrame([], B), spark.createDataFrame([(gone, T(2))], D)
+    want = [("c", "parents", gone, "deleted"), ("c", "parents", late, "late"), ("c", "parents", lost, "missing")]
+    assert rows(d.dangling_references(*args).drop("period")) == want
+    monkeypatch.setattr(d, "unanswered", lambda references, parents: spark.createDataFrame([], "code long, period int, ref_field string, status string"))
+    assert rows(d.dangling_references(*args)) == []
+
+
+def test_unknown_times(spark):
+    a, b = "a" * 40, "b" * 40
+    c = spark.createDataFrame([("c", a, [b], None, ""), ("d", a, [b], T(5), "")], C)
+    o = spark.createDataFrame([(a, None, ""), (b, T(9), "")], O)
+    assert rows(d.dangling_references(c, o, spark.createDataFrame([], B), spark.createDataFrame([(a, None)], D)).drop("period")) == [("d", "parents", b, "late")]

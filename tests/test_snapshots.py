@@ -95,8 +95,14 @@ def test_merging_in_turn_equals_merging_at_once(spark):
     early = placed.filter("num - first_num < 4")
     known = snaps.filter("k < 4").selectExpr("num", "case when k < 3 then next_ts else -1 end as next_ts")
     first = versions.merge_versions(None, early.drop("next_ts").join(known, "num"), keys)
-    second = versions.close_absent(versions.merge_versions(first, placed.filter("num - first_num >= 4"), keys), snaps.select("num", "next_ts"))
+    late, periods = placed.filter("num - first_num >= 4"), snaps.select("num", "next_ts")
+    second = versions.merge_versions(first, late, keys, periods)
     assert rows(second.select(sorted(whole.columns))) == rows(whole.select(sorted(whole.columns)))
+    # without a new row, the merge only closes what has been followed by another period
+    closed = versions.merge_versions(first, late.limit(0), keys, periods)
+    assert closed.count() == first.count() and closed.filter("valid_to = -1").count() == first.filter("valid_to = -1").join(periods.filter("next_ts = -1").selectExpr("num as last_num"), "last_num").count()
+    for turns in (1, 3, 50):
+        assert rows(versions.feature_versions(c, r, turns)) == rows(versions.feature_versions(c, r))
 
 
 def test_numbers_follow_the_order(spark, monkeypatch):

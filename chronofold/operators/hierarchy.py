@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import norm_id
 from ..workspace import discard, materialize, number_rows
 
-#: Rows up to which a contracted list or a peeled rest is finished in one task; three longs a row, 1.6 MB.
-BASE_ROWS = 65_536
+#: Rows up to which a forest, a contracted list or a peeled rest is finished in one task: some ten longs a row, 80 MB.
+BASE_ROWS = 1 << 20
 #: One list element in so many is a splitter.
 SPLIT = 16
 
@@ -55,12 +55,10 @@ def _peel_rest(t: pd.DataFrame) -> pd.DataFrame:
         children[above] -= lost
         front = above[children[above] == 0]
     ring = np.flatnonzero(left)
-    loop, todo = np.full(len(v), -1), left.copy()
-    for i in ring:  # ascending, so the first node met of a loop is its smallest
-        while todo[i]:
-            todo[i], loop[i] = False, (start := i if loop[i] < 0 else loop[i])
-            i = up[i]
-            loop[i] = start
+    # the smallest node of each loop, by doubling; positions are in the order of v
+    loop, to, at = np.minimum(np.arange(len(v)), np.where(left, up, len(v))), np.where(left, up, 0), 1
+    while at < len(ring):
+        loop[ring], to[ring], at = np.minimum(loop[ring], loop[to[ring]]), to[to[ring]], 2 * at
     return pd.DataFrame({"v": v[ring], "p": v[up[ring]], "loop": v[loop[ring]]})
 
 
@@ -185,6 +183,36 @@ def rank_lists(lists: DataFrame, base_rows: int = BASE_ROWS, level: int = 0) ->
 # -- tours ------------------------------------------------------------------------------------------
 
 
+def _tour_rest(t: pd.DataFrame) -> pd.DataFrame:
+    """Loops, Euler tour and its ranking of a whole table ``(v, p)``: what the distributed steps give, on arrays."""
+    t = t.sort_values("v", ignore_index=True)
+    v, rings = t["v"].to_numpy(), _peel_rest(t)
+    p = t["p"].fillna(-1).to_numpy().astype(np.int64)
+    n, loop = len(v), np.full(len(v), -1)
+    cut = np.searchsorted(v, rings["v"].to_numpy())
+    p[cut], loop[cut] = -1, rings["loop"].to_numpy()
+    up = np.where(p >= 0, np.searchsorted(v, p).clip(max=n - 1), -1)
+    child = np.flatnonzero(up >= 0)
+    child = child[np.argsort(up[child], kind="stable")]
+    first, sibling = np.full(n, -1), np.full(n, -1)
+    starts = np.flatnonzero(np.r_[True, up[child][1:] != up[child][:-1]]) if len(child) else child
+    first[up[child[starts]]] = child[starts]
+    same = up[child][1:] == up[child][:-1]
+    sibling[child[:-1][same]] = child[1:][same]
+    at = np.arange(n)
+    to = np.empty(2 * n, np.int64)  # 2i enters node i, 2i + 1 leaves it
+    to[0::2] = np.where(first >= 0, 2 * first, 2 * at + 1)
+    to[1::2] = np.where(sibling >= 0, 2 * sibling, np.where(up >= 0, 2 * up + 1, -1))
+    e = np.arange(2 * n)
+    wt = np.where(e % 2 == 0, 1, -1)
+    r = _rank_rest(pd.DataFrame({"e": e, "to": to, "cnt": np.ones(2 * n, np.int64), "wt": wt, "end": np.where(to < 0, e, -1)}))
+    end, cnt, wt = (r[c].to_numpy() for c in ("end", "cnt", "wt"))
+    root = end[0::2] >> 1
+    return pd.DataFrame({"v": v, "root": v[root], "depth": -wt[0::2], "entry": cnt[0::2], "exit": cnt[1::2], "loop": pd.array(np.where(loop[root] >= 0, loop[root], 0), "Int64").copy()}).assign(
+        loop=lambda d: d["loop"].mask(loop[root] < 0)
+    )
+
+
 def euler_tour(forest: DataFrame, base_rows: int = BASE_ROWS) -> DataFrame:
     """``v root depth entry exit`` of a forest ``(v, p)``, ``p`` null at roots.
 
@@ -228,20 +256,21 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, base_rows: int = BASE_ROWS) ->
     the tree hanging from the loop's node. Null ids, repeats and links to absent nodes are left out; a
     node linked to itself is a loop of one. No nodes give no rows.
     """
-    ids, _ = number_rows(nodes.select(norm_id("id").alias("id")).dropna().distinct(), ["id"], "v")
+    ids, n = number_rows(nodes.select(norm_id("id").alias("id")).dropna().distinct(), ["id"], "v")
     link = edges.filter("ord = 0").select(norm_id("src").alias("src"), norm_id("dst").alias("dst")).dropna().distinct()
     child, above = ids.select(F.col("id").alias("src"), "v"), ids.select(F.col("id").alias("dst"), F.col("v").alias("p"))
     linked = link.join(child, "src").join(above, "dst").groupBy("v").agg(F.min("p").alias("p"))
     parents = materialize(ids.select("v").join(linked, "v", "left"))
-    rings = loops(parents, base_rows)
-    cut = rings.select("v", F.lit(True).alias("_cut"))
-    forest = materialize(parents.join(cut, "v", "left").select("v", F.when(F.col("_cut").isNull(), F.col("p")).alias("p")))
-    tour = euler_tour(forest, base_rows)
-    looped = rings.select(F.col("v").alias("root"), "loop")
+    if n <= base_rows:
+        tour = materialize(_single(parents, _tour_rest, "v long, root long, depth long, entry long, exit long, loop long"))
+    else:
+        rings = loops(parents, base_rows)
+        cut = rings.select("v", F.lit(True).alias("_cut"))
+        forest = materialize(parents.join(cut, "v", "left").select("v", F.when(F.col("_cut").isNull(), F.col("p")).alias("p")))
+        tour = euler_tour(forest, base_rows).join(rings.select(F.col("v").alias("root"), "loop"), "root", "left")
     name = lambda key: ids.select(F.col("v").alias(key), F.col("id").alias(key + "_name"))
     return (
-        tour.join(looped, "root", "left")
-        .withColumn("top", F.coalesce("loop", "root"))
+        tour.withColumn("top", F.coalesce("loop", "root"))
         .join(name("v"), "v").join(name("top"), "top")
         .select(
             F.col("v_name").alias("id"), F.col("top_name").alias("root_id"),
@@ -252,45 +281,66 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, base_rows: int = BASE_ROWS) ->
     )
 
 
+def preorder(tree: DataFrame) -> DataFrame:
+    """``tree`` (of :func:`hierarchy`) with ``pos``: 0, 1, 2 ... over all trees in the order in which tours enter nodes.
+
+    A node's descendants are those at ``pos + 1`` to ``pos + n_descendants``. Trees of any size and number fill
+    the positions without gaps.
+    """
+    # entry counts from the end of the tour, so the order is descending
+    numbered, _ = number_rows(tree.withColumn("_late", -F.col("entry")), ["tour_root", "_late"], "pos")
+    return numbered.drop("_late")
+
+
 def node_paths(tree: DataFrame, block: int = 4096) -> DataFrame:
     """``id path``: every node's ancestors from its tour root down to itself, joined by ``/``.
 
-    ``tree`` is the result of :func:`hierarchy`. Tours are cut in blocks of ``block`` positions; a node
-    whose interval spans the start of a block is sent there as an open ancestor, and each block is walked
-    with a stack. A task holds one block and one path, whatever the tree's size.
+    ``tree`` is the result of :func:`hierarchy`. Positions are cut in blocks of ``block`` nodes, whatever the
+    trees; a node with descendants in a later block is sent there as an open ancestor, and each block is walked
+    with a stack of lengths of one path. A task holds one block, its open ancestors and one path.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    low, high = F.floor(F.col("exit") / block).cast("long"), F.floor(F.col("entry") / block).cast("long")
-    spread = tree.select(
-        "id", "tour_root", "entry", "exit", high.alias("home"), F.explode(F.sequence(low, high)).alias("b")
-    )
-    many = max(1, int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8)
-    group = F.when(F.col("b") == 0, F.pmod(F.xxhash64("tour_root"), F.lit(many))).otherwise(F.col("tour_root"))
+    placed = preorder(tree) if "pos" not in tree.columns else tree
+    high = F.floor((F.col("pos") + F.col("n_descendants")) / block).cast("long")
+    home = F.floor(F.col("pos") / block).cast("long")
+    spread = placed.select("id", "pos", (F.col("pos") + F.col("n_descendants")).alias("last"), home.alias("home"), F.explode(F.sequence(home, high)).alias("b"))
 
     def walk(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["tour_root", "entry"], ascending=[True, False])
-        ids, paths, stack, root = [], [], [], None
-        for name, top, entry, leave, home, b in zip(t["id"], t["tour_root"], t["entry"], t["exit"], t["home"], t["b"]):
-            if top != root:
-                stack, root = [], top
-            while stack and stack[-1][0] > entry:
+        t = t.sort_values("pos")
+        ids, paths, path, stack = [], [], "", []
+        for name, pos, last, home, b in zip(t["id"], t["pos"], t["last"], t["home"], t["b"]):
+            while stack and stack[-1][0] < pos:
                 stack.pop()
-            stack.append((leave, stack[-1][1] + "/" + name if stack else name))
+            path = path[: stack[-1][1]] + "/" + name if stack else name
+            stack.append((last, len(path)))
             if home == b:
                 ids.append(name)
-                paths.append(stack[-1][1])
+                paths.append(path)
         return pd.DataFrame({"id": pd.Series(ids, dtype=object), "path": pd.Series(paths, dtype=object)})
 
-    return spread.groupBy("b", group.alias("g")).applyInPandas(
-        walk, StructType([StructField("id", StringType()), StructField("path", StringType())])
-    )
+    return spread.groupBy("b").applyInPandas(walk, "id string, path string")
+
 
+def descendants(tree: DataFrame, of: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """``ancestor_id id``: all descendants of the ids in ``of``, or of every node.
 
-def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """``ancestor_id id``: all descendants of the ids in ``of``, by their intervals in the tour."""
-    a = tree.join(of.select(norm_id("id").alias("id")).dropna().distinct(), "id").select(
-        F.col("id").alias("ancestor_id"), "tour_root", F.col("entry").alias("a_entry"), F.col("exit").alias("a_exit")
+    A node's descendants are a range of positions (:func:`preorder`): it is cut into whole blocks and the single
+    positions at its ends, and both are found by equality, so nothing is compared that isn't a result, and a
+    large tree is spread by its blocks. Nodes on one loop are no descendants of one another here (see
+    :func:`hierarchy`).
+    """
+    placed = materialize(preorder(tree) if "pos" not in tree.columns else tree)
+    a = placed if of is None else placed.join(of.select(norm_id("id").alias("id")).dropna().distinct(), "id")
+    low, high = F.col("pos") + 1, F.col("pos") + F.col("n_descendants")
+    first, after = F.ceil(low / block).cast("long"), F.floor((high + 1) / block).cast("long")
+    none = F.array().cast("array<bigint>")
+    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(none)
+    split = first < after
+    pieces = F.concat(
+        F.transform(F.when(split, span(first, after - 1)).otherwise(none), lambda k: F.struct(F.lit(1).alias("level"), k.alias("at"))),
+        F.transform(span(low, F.when(split, first * block - 1).otherwise(high)), lambda k: F.struct(F.lit(0).alias("level"), k.alias("at"))),
+        F.transform(F.when(split, span(after * block, high)).otherwise(none), lambda k: F.struct(F.lit(0).alias("level"), k.alias("at"))),
     )
-    inside = (F.col("entry") < F.col("a_entry")) & (F.col("exit") > F.col("a_exit"))
-    return tree.select("id", "tour_root", "entry", "exit").join(a, "tour_root").filter(inside).select("ancestor_id", "id")
+    asked = a.filter("n_descendants > 0").select(F.col("id").alias("ancestor_id"), F.explode(pieces).alias("x")).select("ancestor_id", "x.level", "x.at")
+    lone = placed.select("id", F.lit(0).alias("level"), F.col("pos").alias("at"))
+    blocks = placed.select("id", F.lit(1).alias("level"), F.floor(F.col("pos") / block).cast("long").alias("at"))
+    return asked.join(lone.unionByName(blocks), ["level", "at"]).select("ancestor_id", "id")

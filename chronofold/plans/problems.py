@@ -23,21 +23,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges")).select("id", "root_id", "node_depth")
 
 
+def _tree(spark: SparkSession, d: str, **how) -> DataFrame:
+    return materialize(hierarchy.preorder(hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges"), **how)))
+
+
+def p2_parallel(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`p2_found` with loops, tour and ranking distributed down to a few rows a task, as tables too large for one take it."""
+    return hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges"), base_rows=512).select("id", "root_id", "node_depth")
+
+
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges"))
-    return hierarchy.node_paths(tree.filter("node_depth >= 0")).join(tree.select("id", "n_descendants"), "id")
+    tree = _tree(spark, d)
+    return hierarchy.node_paths(tree).join(tree.select("id", "n_descendants", (F.col("node_depth") < 0).alias("looped")), "id")
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Every node, also those running into loops, whose paths and intervals count from the loop's node.
 
-    ``b`` descends from ``a`` if both have the same ``tour_root``, ``b.entry < a.entry`` and ``b.exit > a.exit``;
-    the nodes of one loop and all below them, ``looped`` with the same ``root_id``, also descend from each of the loop's (depth 0 in the path).
+    The descendants of a node are those at ``pos + 1`` to ``pos + n_descendants``; the nodes of one loop and all below
+    them, ``looped`` with the same ``root_id``, also descend from each of the loop's (depth 0 in the path).
     """
-    tree = materialize(hierarchy.hierarchy(table(spark, d, "nodes"), table(spark, d, "edges")))
+    tree = _tree(spark, d)
     return hierarchy.node_paths(tree).join(tree.withColumn("looped", F.col("node_depth") < 0), "id")
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each node below it."""
+    return hierarchy.descendants(_tree(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "commits"), table(spark, d, "tree_refs"))
 
@@ -55,7 +69,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_paths, p2_nodes, p4_found, p5_found, p5_counts)
+    found = (p1_found, p2_found, p2_parallel, p2_paths, p2_nodes, p2_descendants, p4_found, p5_found, p5_counts)
     return {f.__name__: f for f in found}
 
 
@@ -105,8 +119,15 @@ def oracle_sql() -> dict[str, str]:
     ring as (select start as id from steps s join l on l.v = s.at and l.p = s.start),
     low as (select s.start as id, min(s.at) as root_id from steps s join ring r on r.id = s.at group by 1)
     select id, root_id, node_depth from walk union all select id, root_id, -1 from low"""
-    paths = """select w.id, any_value(w.path) as path, count(d.id) as n_descendants from walk w
-    left join walk d on starts_with(d.path, w.path || '/') and d.root_id = w.root_id group by w.id"""
+    cut = f"""with recursive n as (select distinct {norm('id')} as id from nodes where {norm('id')} is not null),
+    l as (select {norm('src')} as v, min({norm('dst')}) as p from edges where ord = 0 and {norm('src')} in (select id from n)
+          and {norm('dst')} in (select id from n) group by 1),
+    steps as (select v as start, p as at from l union select s.start, l.p from steps s join l on l.v = s.at where s.at <> s.start),
+    ring as (select distinct start as id from steps where at = start),
+    walk as (select n.id as id, n.id as path, n.id in (select id from ring) as looped from n where id not in (select v from l) or id in (select id from ring)
+          union all select l.v, w.path || '/' || l.v, w.looped from walk w join l on l.p = w.id where l.v not in (select id from ring))"""
+    paths = """select w.id, any_value(w.path) as path, any_value(w.looped) as looped, count(d.id) as n_descendants from walk w
+    left join walk d on starts_with(d.path, w.path || '/') group by w.id"""
     orphans = f"""with c as (select {norm('commit_id')} as commit_id, {norm('tree')} as tree, parents, received_at from commits),
     t as (select commit_id, min(received_at) as received from c where commit_id is not null group by 1),
     r as (select distinct commit_id, 'tree' as ref_field, tree as ref_id from c where tree is not null
@@ -121,7 +142,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": runs,
         "p2_found": tree + loops,
-        "p2_paths": tree + paths,
+        "p2_parallel": tree + loops,
+        "p2_paths": cut + paths,
+        "p2_descendants": cut + " select w.id as ancestor_id, d.id from walk w join walk d on starts_with(d.path, w.path || '/')",
         "p4_found": changes,
         "p5_found": orphans + " select commit_id, ref_field, ref_id, status from found where status is not null",
         "p5_counts": orphans + " select ref_field, period, status, count(*) as n_refs, count(distinct ref_id) as n_ids from found where status is not null group by 1, 2, 3",

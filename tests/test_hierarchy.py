@@ -26,7 +26,7 @@ def tables(spark, nodes, edges):
 
 
 def test_against_brute_force(spark):
-    for seed, base in ((1, 8), (2, 8), (3, h.BASE_ROWS)):
+    for seed, base in ((1, 8), (2, 60), (3, h.BASE_ROWS)):
         rnd = random.Random(seed)
         names = [f"{i:03d}" for i in range(120)]
         rnd.shuffle(names)
@@ -38,11 +38,13 @@ def test_against_brute_force(spark):
         assert {r["id"]: (r["root_id"], r["node_depth"]) for r in got.collect()} == want
     below = {v: sum(1 for w in names if w != v and want[w][1] > 0 and v in chain(w, parent)) for v in names if want[v][1] >= 0}
     assert {r["id"]: r["n_descendants"] for r in got.filter("node_depth >= 0").collect()} == below
-    for block in (4, 4096):
+    for block in (3, 4096):
         paths = {r["id"]: r["path"] for r in h.node_paths(got.filter("node_depth >= 0"), block).collect()}
         assert paths == {v: "/".join(reversed([v, *chain(v, parent)])) for v in below}
     some = spark.createDataFrame([(names[0],), (names[10],)], "id string")
-    assert rows(h.descendants(got.filter("node_depth >= 0"), some)) == sorted((a, w) for a in (names[0], names[10]) for w in below if a in chain(w, parent))
+    for block in (3, 4096):
+        assert rows(h.descendants(got.filter("node_depth >= 0"), some, block)) == sorted((a, w) for a in (names[0], names[10]) for w in below if a in chain(w, parent))
+        assert rows(h.descendants(got.filter("node_depth >= 0"), block=block)) == sorted((a, w) for w in below for a in chain(w, parent))
 
 
 def chain(v, parent):
@@ -88,4 +90,5 @@ def test_every_node_has_path_and_interval(spark, tmp_path):
         "a": ("a", True, 2), "b": ("b", True, 0), "x": ("a/x", True, 1), "y": ("a/x/y", True, 0), "r": ("r", False, 1), "c": ("r/c", False, 0)
     }
     below = {(p, q) for p, a in got.items() for q, b in got.items() if a["tour_root"] == b["tour_root"] and b["entry"] < a["entry"] and b["exit"] > a["exit"]}
+    assert below == {(p, q) for p, a in got.items() for q, b in got.items() if a["pos"] < b["pos"] <= a["pos"] + a["n_descendants"]}
     assert below == {("a", "x"), ("a", "y"), ("x", "y"), ("r", "c")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bounds, paths, values
@@ -18,31 +18,24 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str] | None = None, change:
 
     ``old`` and ``new`` are listings, ``keys`` columns that pair their snapshots (none: one snapshot each).
     ADDED and REMOVED have one side; MODIFIED paths have another object id (metadata ids and bounds don't
-    count, null equals null). ``change`` asks for one kind only, which turns the full outer join into an
-    anti or inner join. ``trees`` also reports TREE rows. Null path parts are values like any other.
+    count, null equals null). ``change`` asks for one kind only. ``trees`` also reports TREE rows. Null path
+    parts are values like any other. Both sides are laid over one another and each path's at most two rows
+    compared by one window, so one shuffle serves listings and difference.
     """
-    keys = list(keys or [])
+    at = [*(keys or []), *PATH]
     if not trees:
         old, new = old.filter("ref_type = 'FEATURE'"), new.filter("ref_type = 'FEATURE'")
-    at = [*keys, *PATH]
-    a = old.select(*[F.col(c).alias("o_" + c) for c in at], *[F.col(c).alias("old_" + c) for c in SIDE], F.lit(True).alias("_old"))
-    b = new.select(*[F.col(c).alias("n_" + c) for c in at], *[F.col(c).alias("new_" + c) for c in SIDE], F.lit(True).alias("_new"))
-    on = [F.col("o_" + c).eqNullSafe(F.col("n_" + c)) for c in at]
-    no = lambda prefix: [F.lit(None).cast(old.schema[c].dataType).alias(prefix + c) for c in SIDE]
-    olds, news = [F.col("old_" + c) for c in SIDE], [F.col("new_" + c) for c in SIDE]
-    if change == "ADDED":
-        return b.join(a, on, "left_anti").select(*[F.col("n_" + c).alias(c) for c in at], F.lit("ADDED").alias("change_kind"), *no("old_"), *news)
-    if change == "REMOVED":
-        return a.join(b, on, "left_anti").select(*[F.col("o_" + c).alias(c) for c in at], F.lit("REMOVED").alias("change_kind"), *olds, *no("new_"))
-    differs = ~F.col("old_object_id").eqNullSafe(F.col("new_object_id"))
-    if change == "MODIFIED":
-        return a.join(b, on).filter(differs).select(*[F.col("n_" + c).alias(c) for c in at], F.lit("MODIFIED").alias("change_kind"), *olds, *news)
-    kind = F.when(F.col("_old").isNull(), "ADDED").when(F.col("_new").isNull(), "REMOVED").otherwise("MODIFIED")
-    pick = lambda c: F.when(F.col("_new").isNull(), F.col("o_" + c)).otherwise(F.col("n_" + c)).alias(c)
-    return (
-        a.join(b, on, "full_outer")
-        .filter(F.col("_old").isNull() | F.col("_new").isNull() | differs)
-        .select(*[pick(c) for c in at], kind.alias("change_kind"), *olds, *news)
+    both = old.select(*at, *SIDE, F.lit(0).alias("_side")).unionByName(new.select(*at, *SIDE, F.lit(1).alias("_side")))
+    w = Window.partitionBy(*at).orderBy("_side")
+    rows = both.withColumns({"_before": F.lag(F.struct(*SIDE)).over(w), "_after": F.lead("_side").over(w)})
+    is_new, before = F.col("_side") == 1, F.col("_before")
+    kind = (
+        F.when(~is_new & F.col("_after").isNull(), "REMOVED").when(is_new & before.isNull(), "ADDED")
+        .when(is_new & ~before["object_id"].eqNullSafe(F.col("object_id")), "MODIFIED")
+    )
+    rows = rows.withColumn("change_kind", kind).filter(F.col("change_kind") == change if change else F.col("change_kind").isNotNull())
+    return rows.select(
+        *at, "change_kind", *[F.when(is_new, before[c]).otherwise(F.col(c)).alias("old_" + c) for c in SIDE], *[F.when(is_new, F.col(c)).alias("new_" + c) for c in SIDE]
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bounds, paths
 from ..functions.ids import norm_id
+from ..workspace import BROADCAST_ROWS, sized_broadcast
 from .snapshots import PATH
 
 COLUMNS = ["tree", *PATH, "ref_type", "object_id", "metadata_id", *bounds.BOUNDS]
@@ -17,26 +18,33 @@ STRATEGIES = {
 }
 
 
-def listing(refs: DataFrame) -> DataFrame:
+def listing(refs: DataFrame, chosen: DataFrame | None = None, n_chosen: int | None = None) -> DataFrame:
     """Root trees' listings with normalised ids, one row for each path of a tree: the one listed last.
 
-    Rows without tree are left out; null path parts are values like any other. Equally late rows that differ
-    are decided by type, object and metadata id and bounds, so the result doesn't depend on file order.
+    ``chosen`` has ``tree`` and columns that name its snapshots: only these trees are read, before anything is
+    shuffled, and the result has those columns in place of ``tree``, by which and the path it is partitioned; each
+    name must have one tree. ``n_chosen`` is its size, if counted. Rows without tree are left out; null path parts are
+    values like any other. Equally late rows that differ are decided by type, object and metadata id and bounds,
+    so the result doesn't depend on file order. Filters on the path reach the scan.
     """
     r = refs.select(
         norm_id("tree").alias("tree"), *PATH, "ref_type", norm_id("object_id").alias("object_id"),
         norm_id("metadata_id").alias("metadata_id"), *bounds.BOUNDS, "listed_at",
     ).filter("tree is not null")
-    last = Window.partitionBy("tree", *PATH).orderBy(
-        F.col("listed_at").desc_nulls_last(), F.desc("ref_type"), F.desc("object_id"), F.desc("metadata_id"), *[F.desc(b) for b in bounds.BOUNDS]
+    keys = ["tree"]
+    if chosen is not None:
+        keys = [c for c in chosen.columns if c != "tree"]
+        r = r.join(sized_broadcast(chosen, BROADCAST_ROWS + 1 if n_chosen is None else n_chosen), "tree").drop("tree")
+    w = Window.partitionBy(*keys, *PATH).orderBy(
+        F.col("listed_at").asc_nulls_first(), "ref_type", "object_id", "metadata_id", *bounds.BOUNDS
     )
-    return r.withColumn("_k", F.row_number().over(last)).filter("_k = 1").select(COLUMNS)
+    return r.withColumn("_later", F.lead(F.lit(True)).over(w)).filter("_later is null").select(*keys, *COLUMNS[1:])
 
 
 def ls_tree(nodes: DataFrame, path: str = "", strategy: str = "CHILDREN", box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """The rows below ``path`` by one of :data:`STRATEGIES`, with their full path; ``box`` keeps features that meet it."""
     deep, kind = STRATEGIES[strategy]
-    parent = F.coalesce("parent_path", F.lit(""))
+    parent = F.col("parent_path") if path else F.coalesce("parent_path", F.lit(""))
     on: Column = (parent == path) | paths.is_below(parent, path) if deep and path else F.lit(True) if deep else parent == path
     if kind:
         on = on & (F.col("ref_type") == kind)
@@ -48,7 +56,8 @@ def ls_tree(nodes: DataFrame, path: str = "", strategy: str = "CHILDREN", box: t
 def find_child(nodes: DataFrame, path: str) -> DataFrame:
     """The row at a path: a lookup by both key columns."""
     parent, _, name = path.rpartition("/")
-    return nodes.filter((F.coalesce("parent_path", F.lit("")) == parent) & (F.col("ref_name") == name))
+    at = F.col("parent_path") if parent else F.coalesce("parent_path", F.lit(""))
+    return nodes.filter((at == parent) & (F.col("ref_name") == name))
 
 
 def feature_type_trees(nodes: DataFrame) -> DataFrame:

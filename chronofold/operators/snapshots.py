@@ -14,13 +14,8 @@ from ..workspace import materialize, number_rows, sized_broadcast
 PATH = ["parent_path", "ref_name"]
 
 
-def snapshots(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
-    """Number the snapshots of all lines: ``num line commit_id tree ts next_ts first_num``, and their count.
-
-    ``num`` is consecutive within a line, ``first_num`` that of the line's first snapshot, ``next_ts`` the
-    time of the line's next snapshot or -1. Commits delivered again count once, with the smallest time.
-    Commits without line, id, tree or time make no snapshot. Equal times are ordered by commit id.
-    """
+def _listed_commits(commits: DataFrame, refs: DataFrame) -> DataFrame:
+    """``tree line commit_id ts`` of every commit of a line whose tree has a listing; of the listings only the trees' ids are read."""
     c = (
         commits.select(
             "line", norm_id("commit_id").alias("commit_id"), norm_id("tree").alias("tree"), F.col("committer_ts").alias("ts")
@@ -30,7 +25,24 @@ def snapshots(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
         .agg(F.min("ts").alias("ts"), F.max("tree").alias("tree"))
     )
     listed = refs.select(norm_id("tree").alias("tree")).dropna().distinct()
-    numbered, n = number_rows(c.join(listed, "tree", "left_semi"), ["line", "ts", "commit_id"], "num")
+    return c.join(listed, "tree", "left_semi")
+
+
+def line_ends(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
+    """``line first last``: the trees of each line's first and last snapshot, by plain aggregates; and the number of lines."""
+    at = F.struct("ts", "commit_id", "tree")
+    ends = materialize(_listed_commits(commits, refs).groupBy("line").agg(F.min(at)["tree"].alias("first"), F.max(at)["tree"].alias("last")))
+    return ends, ends.count()
+
+
+def snapshots(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
+    """Number the snapshots of all lines: ``num line commit_id tree ts next_ts first_num``, and their count.
+
+    ``num`` is consecutive within a line, ``first_num`` that of the line's first snapshot, ``next_ts`` the
+    time of the line's next snapshot or -1. Commits delivered again count once, with the smallest time.
+    Commits without line, id, tree or time make no snapshot. Equal times are ordered by commit id.
+    """
+    numbered, n = number_rows(_listed_commits(commits, refs), ["line", "ts", "commit_id"], "num")
     ends = numbered.groupBy("line").agg(F.min("num").alias("first_num"))
     after = numbered.select(F.col("line").alias("l2"), (F.col("num") - 1).alias("num"), F.col("ts").alias("next_ts"))
     out = (

@@ -122,8 +122,8 @@ def oracle_sql() -> dict[str, str]:
     cut = f"""with recursive n as (select distinct {norm('id')} as id from nodes where {norm('id')} is not null),
     l as (select {norm('src')} as v, min({norm('dst')}) as p from edges where ord = 0 and {norm('src')} in (select id from n)
           and {norm('dst')} in (select id from n) group by 1),
-    steps as (select v as start, p as at from l union select s.start, l.p from steps s join l on l.v = s.at where s.at <> s.start),
-    ring as (select distinct start as id from steps where at = start),
+    steps as (select v as start, p as here from l union select s.start, l.p from steps s join l on l.v = s.here where s.here <> s.start),
+    ring as (select distinct start as id from steps where here = start),
     walk as (select n.id as id, n.id as path, n.id in (select id from ring) as looped from n where id not in (select v from l) or id in (select id from ring)
           union all select l.v, w.path || '/' || l.v, w.looped from walk w join l on l.p = w.id where l.v not in (select id from ring))"""
     paths = """select w.id, any_value(w.path) as path, any_value(w.looped) as looped, count(d.id) as n_descendants from walk w

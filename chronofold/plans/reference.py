@@ -27,16 +27,17 @@ class _Store:
         self.commits, self.refs = self.t("commits"), self.t("tree_refs")
 
     def at(self, *which: str) -> list[DataFrame]:
-        """Listings by line at the ``first``, ``middle`` or ``last`` snapshot."""
-        snaps, _ = snapshots.snapshots(self.commits, self.refs)
-        nodes = materialize(listing.listing(self.refs))
-        ends = snaps.groupBy("line").agg(F.min("num").alias("first"), F.max("num").alias("last"))
-        nums = ends.withColumn("middle", F.expr("first + (last - first) div 2"))
-        out = []
-        for w in which:
-            chosen = snaps.join(nums.select("line", F.col(w).alias("num")), ["line", "num"]).select("line", "tree")
-            out.append(nodes.join(chosen, "tree").drop("tree"))
-        return out
+        """Listings by line at the ``first``, ``middle`` or ``last`` snapshot; only these trees' rows are read."""
+        if "middle" in which:
+            snaps, _ = snapshots.snapshots(self.commits, self.refs)
+            ends = snaps.groupBy("line").agg(F.min("num").alias("first"), F.max("num").alias("last"))
+            nums = ends.withColumn("middle", F.expr("first + (last - first) div 2"))
+            picked = nums.select("line", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(w).alias("num")) for w in which])).alias("x"))
+            trees = materialize(picked.select("line", "x.*").join(snaps, ["line", "num"]).select("line", "which", "tree"))
+            n = trees.count()
+            return [listing.listing(self.refs, trees.filter(F.col("which") == w).drop("which"), n) for w in which]
+        ends, n = snapshots.line_ends(self.commits, self.refs)
+        return [listing.listing(self.refs, ends.select("line", F.col(w).alias("tree")), n) for w in which]
 
     def diff(self, **how) -> DataFrame:
         old, new = self.at("first", "last")

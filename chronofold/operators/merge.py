@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from .diff import diff
+from ..functions.geometry import merge_edits
+from ..functions.ids import NULL_ID
+from ..functions.paths import ancestor_paths, full_path
 from .snapshots import PATH
 
+#: Kinds of attributes whose edits are joined by coordinate. Fixed values.
+GEOMETRIES = ["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON"]
 
-def classify(ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+
+#: The versions a merge compares, in order.
+VERSIONS = ("ancestor", "ours", "theirs")
+
+
+def classify(ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str] | None = None, trees: bool = False) -> DataFrame:
     """``keys parent_path ref_name merge_class ancestor ours theirs``: every path either side changed.
 
     ``merge_class``: ``ours`` and ``theirs`` changed on that side alone, ``same`` changed alike on both
     (also removed on both), ``both`` modified on both sides to different objects, to be merged by attribute,
     ``conflict`` otherwise: changed in different ways, or added on both sides with different objects.
     The last three columns are object ids, null where absent.
+
+    ``trees`` adds the column ``ref_type`` and the TREE rows. What a tree holds has rows of its own, so a tree is compared
+    by its feature type: its last three columns are its metadata id, or the NULL id if it has none; trees are never
+    ``both``. A tree that one side removed, while the other added or modified something below it, is a
+    ``conflict``. The three listings are laid over one another and compared in one shuffle.
     """
     keys = list(keys or [])
     at = [*keys, *PATH]
-    side = lambda d, s: d.select(
-        *[F.col(c).alias(f"{s}_{c}") for c in at], F.col("change_kind").alias(f"{s}_kind"), F.col("old_object_id").alias(f"{s}_old"), F.col("new_object_id").alias(f"{s}_new")
-    )
-    a, b = side(diff(ancestor, ours, keys), "a"), side(diff(ancestor, theirs, keys), "b")
-    j = a.join(b, [F.col("a_" + c).eqNullSafe(F.col("b_" + c)) for c in at], "full_outer")
-    alike = F.col("a_new").eqNullSafe(F.col("b_new"))
-    both_modified = (F.col("a_kind") == "MODIFIED") & (F.col("b_kind") == "MODIFIED")
-    kind = (
-        F.when(F.col("b_kind").isNull(), "ours").when(F.col("a_kind").isNull(), "theirs")
-        .when((F.col("a_kind") == F.col("b_kind")) & alike, "same").when(both_modified, "both").otherwise("conflict")
+
+    def side(d: DataFrame, k: int) -> DataFrame:
+        is_tree = F.col("ref_type") == "TREE"
+        what = F.when(is_tree, F.coalesce("metadata_id", F.lit(NULL_ID))).otherwise(F.col("object_id"))
+        return (d if trees else d.filter("ref_type = 'FEATURE'")).select(*at, F.struct("ref_type", what.alias("id")).alias("x"), F.lit(k).alias("_side"))
+
+    every = side(ancestor, 0).unionByName(side(ours, 1)).unionByName(side(theirs, 2))
+    w = Window.partitionBy(*at).orderBy("_side")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = every.withColumn("_first", F.lag("_side").over(w))
+    rows = rows.withColumns({f"_{k}": F.first(F.when(F.col("_side") == k, F.col("x")), ignorenulls=True).over(whole) for k in range(3)}).filter("_first is null")
+    a, o, t = (F.col(f"_{k}") for k in range(3))
+    kind = lambda x: F.when(a.isNull(), F.when(x.isNotNull(), "ADDED")).when(x.isNull(), "REMOVED").when(~x.eqNullSafe(a), "MODIFIED")
+    ko, kt = kind(o), kind(t)
+    is_feature = (o["ref_type"] == "FEATURE") & (t["ref_type"] == "FEATURE")
+    both_modified = (ko == "MODIFIED") & (kt == "MODIFIED") & is_feature
+    group = F.when(kt.isNull(), "ours").when(ko.isNull(), "theirs").when((ko == kt) & o.eqNullSafe(t), "same").when(both_modified, "both").otherwise("conflict")
+    out = rows.filter(ko.isNotNull() | kt.isNotNull()).select(
+        *at, F.coalesce(o["ref_type"], t["ref_type"], a["ref_type"]).alias("ref_type"), group.alias("merge_class"), a["id"].alias("ancestor"), o["id"].alias("ours"), t["id"].alias("theirs")
     )
-    pick = lambda c: F.when(F.col("a_kind").isNull(), F.col("b_" + c)).otherwise(F.col("a_" + c)).alias(c)
-    old = F.coalesce("a_old", "b_old")
-    mine = F.when(F.col("a_kind").isNull(), old).otherwise(F.col("a_new"))
-    other = F.when(F.col("b_kind").isNull(), old).otherwise(F.col("b_new"))
-    return j.select(*[pick(c) for c in at], kind.alias("merge_class"), old.alias("ancestor"), mine.alias("ours"), other.alias("theirs"))
+    if not trees:
+        return out.drop("ref_type")
+    hit = subtree_conflicts(out, keys).select(*keys, "removed").distinct()
+    path = full_path("parent_path", "ref_name")
+    fought = out.filter("ref_type = 'TREE'").join(hit, [out[k].eqNullSafe(hit[k]) for k in keys] + [path == hit["removed"]], "left")
+    settled = fought.select(*[out[c] for c in at], "ref_type", F.when(F.col("removed").isNotNull(), "conflict").otherwise(F.col("merge_class")).alias("merge_class"), *VERSIONS)
+    return out.filter("ref_type <> 'TREE'").unionByName(settled)
 
 
 def _merged_attribute(a: Column, o: Column, t: Column) -> tuple[Column, Column]:
@@ -43,29 +69,49 @@ def _merged_attribute(a: Column, o: Column, t: Column) -> tuple[Column, Column]:
     return F.when(~o.eqNullSafe(a), o).otherwise(t), ~o.eqNullSafe(a) & ~t.eqNullSafe(a) & ~o.eqNullSafe(t)
 
 
+def _merged_geometries(a: Column, o: Column, t: Column) -> Column:
+    """Arrays of geometries with both sides' coordinate edits, null where they can't be joined."""
+
+    @F.pandas_udf("array<string>")
+    def run(a: pd.Series, o: pd.Series, t: pd.Series) -> pd.Series:
+        one = lambda x, y, z: merge_edits(x, y, z) if None not in (x, y, z) else None
+        return pd.Series([[one(*w) for w in zip(*row)] if row[0] is not None else [] for row in zip(a, o, t)], dtype=object)
+
+    return run(a, o, t)
+
+
 def merge_attributes(classified: DataFrame, texts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Of the class ``both``: ``keys parent_path ref_name merged_text conflicting``, merged attribute by attribute.
 
-    An attribute takes our value if we changed it, else theirs; one that both changed to different values
+    An attribute takes our value if we changed it, else theirs. A geometry that both changed takes the coordinate edits of
+    both, if they touch different coordinates; any other attribute that both changed to different values
     conflicts, and then ours is shown. Features whose attribute counts or kinds differ between the versions
     conflict as a whole (``merged_text`` null), as do those without a text.
     """
     keys = list(keys or [])
     one = lambda side: texts.select(F.col("object_id").alias(side), F.col("object_text").alias("_" + side))
     j = classified.filter("merge_class = 'both'")
-    for side in ("ancestor", "ours", "theirs"):
+    for side in VERSIONS:
         j = j.join(one(side), side, "left")
-    a, o, t = (values.attributes("_" + s) for s in ("ancestor", "ours", "theirs"))
-    j = j.withColumns({"a": a, "o": o, "t": t})
+    a, o, t = (values.attributes("_" + s) for s in VERSIONS)
     alike = (F.size("a") == F.size("o")) & (F.size("a") == F.size("t"))
     z = F.arrays_zip("a", "o", "t")
     part = lambda x: [F.struct(x[s]["kind"].alias("kind"), x[s]["value"].alias("value")) for s in ("a", "o", "t")]
-    merged = F.transform(z, lambda x: F.when(~part(x)[1].eqNullSafe(part(x)[0]), x["o"]).otherwise(x["t"]))
-    clash = F.exists(z, lambda x: _merged_attribute(*part(x))[1])
+    shape = lambda x: x["a"]["kind"].isin(GEOMETRIES) & (x["a"]["kind"] == x["o"]["kind"]) & (x["a"]["kind"] == x["t"]["kind"])
+    fought = lambda x: _merged_attribute(*part(x))[1]
     mixed = F.exists(z, lambda x: (x["o"]["kind"] != "NULL") & (x["t"]["kind"] != "NULL") & (x["o"]["kind"] != x["t"]["kind"]))
-    whole = F.coalesce(alike & ~mixed, F.lit(False))
+    shapes = F.filter(z, lambda x: fought(x) & shape(x))
+    text = lambda s: F.transform("shapes", lambda x: x[s]["value"])
+    j = j.withColumns({"a": a, "o": o, "t": t})
+    j = j.withColumns({"whole": F.coalesce(alike & ~mixed, F.lit(False))}).withColumn("shapes", F.when(F.col("whole"), shapes).otherwise(F.filter(z, lambda x: F.lit(False))))
+    j = j.withColumn("joined", _merged_geometries(text("a"), text("o"), text("t")))
+    j = j.withColumn("at", F.map_from_arrays(F.transform("shapes", lambda x: x["a"]["pos"]), "joined"))
+    new = lambda x: F.try_element_at(F.col("at"), x["a"]["pos"])
+    own = lambda x: F.when(~part(x)[1].eqNullSafe(part(x)[0]), x["o"]).otherwise(x["t"])
+    merged = F.transform(z, lambda x: F.struct(own(x)["pos"].alias("pos"), own(x)["kind"].alias("kind"), F.coalesce(new(x), own(x)["value"]).alias("value")))
+    clash = F.exists(z, lambda x: fought(x) & new(x).isNull())
     return j.select(
-        *keys, *PATH, F.when(whole, values.render(merged)).alias("merged_text"), (~whole | F.coalesce(clash, F.lit(True))).alias("conflicting")
+        *keys, *PATH, F.when(F.col("whole"), values.render(merged)).alias("merged_text"), (~F.col("whole") | F.coalesce(clash, F.lit(True))).alias("conflicting")
     )
 
 
@@ -80,26 +126,24 @@ def check_merge(classified: DataFrame, keys: list[str]) -> DataFrame:
 
 def conflict_lines(conflicts: DataFrame) -> DataFrame:
     """Conflicts in text form: path, ancestor, ours and theirs, separated by tabs; the NULL id where absent."""
-    from ..functions.ids import NULL_ID
-    from ..functions.paths import full_path
-
     ids = [F.coalesce(c, F.lit(NULL_ID)) for c in ("ancestor", "ours", "theirs")]
     return conflicts.select(F.concat_ws("\t", full_path("parent_path", "ref_name"), *ids).alias("conflict"))
 
 
 def subtree_conflicts(classified: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes of one side below a tree the other side removed: an equi-join on exploded ancestor paths.
+    """``keys removed path``: what one side added or modified below a tree the other side removed, by an equi-join on exploded ancestor paths.
 
-    ``classified`` must come from listings with trees reported as rows of their own.
+    ``classified`` has the TREE rows of :func:`classify`. One removed tree is one row of the small side, so a
+    tree with any share of the changes below it is no hot key of an exploded side: its changes stay where they are.
     """
-    from ..functions.paths import ancestor_paths, full_path
-
     path = full_path("parent_path", "ref_name")
-    gone = classified.filter("merge_class in ('ours', 'theirs') and (ours is null or theirs is null)").select(*keys, path.alias("removed"), F.col("merge_class").alias("by"))
-    below = classified.filter("merge_class in ('ours', 'theirs')").select(
-        *keys, path.alias("path"), "merge_class", F.explode(ancestor_paths(F.coalesce("parent_path", F.lit("")))).alias("removed")
-    )
-    return below.join(gone, [*keys, "removed"]).filter("merge_class <> by").select(*keys, "removed", "path")
+    alone = classified.filter("merge_class in ('ours', 'theirs')")
+    gone = alone.filter("ref_type = 'TREE' and (ours is null or theirs is null) and ancestor is not null").select(*keys, path.alias("removed"), F.col("merge_class").alias("by"))
+    kept = F.when(F.col("merge_class") == "ours", F.col("ours")).otherwise(F.col("theirs")).isNotNull()
+    below = alone.filter(kept & (F.coalesce("parent_path", F.lit("")) != "")).select(*keys, path.alias("path"), "merge_class", F.explode(ancestor_paths("parent_path")).alias("_above"))
+    g = gone.select(*[F.col(k).alias("_" + k) for k in keys], "removed", "by")
+    on = [below[k].eqNullSafe(g["_" + k]) for k in keys] + [below["_above"] == g["removed"], below["merge_class"] != g["by"]]
+    return below.join(g, on).select(*keys, "removed", "path")
 
 
 def apply_changes(nodes: DataFrame, changes: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -96,10 +96,15 @@ def test_patch_transaction_clone(repo, spark, tmp_path):
     repo.apply_patch(p, reverse=True)
     assert names(repo, "WORK_HEAD") == ["Points.1", "Points.2"]
     repo.reset("HEAD", "HARD")
-    with pytest.raises(RuntimeError), repo.transaction():
-        repo.branch_create("gone")
+    with pytest.raises(RuntimeError), repo.transaction() as t:
+        t.branch_create("gone")
         raise RuntimeError
     assert repo.branches() == ["master"]
+    with repo.transaction() as t:
+        put(t, [("Points.7", "t", 7, "POINT (7 7)")])
+        t.commit("in transaction", when=5, all=True)
+        assert "Points.7" not in names(repo) and "Points.7" in names(t)
+    assert "Points.7" in names(repo) and "Points.7" in names(repo, "WORK_HEAD")
     other = Repo.clone(spark, repo.path, str(tmp_path / "c"))
     assert names(other) == names(repo) and other.head == repo.head
     put(other, [("Points.9", "n", 9, "POINT (9 9)")])
@@ -135,9 +140,107 @@ def test_no_conflict_is_lost(repo, spark):
         "'Many' as parent_path", "cast(id as string) as ref_name", "'FEATURE' as ref_type", f"'{object_id}' as object_id", "cast(null as string) as metadata_id",
         *[f"cast(null as double) as {c}" for c in ("minx", "maxx", "miny", "maxy")],
     )
-    _, left = repo._merge_trees(side("0").limit(0), side("1"), side("2"), None)
+    _, left, open_ = repo._merge_trees(side("0").limit(0), side("1"), side("2"), None)
+    repo._keep_conflicts(open_)
     assert left == n and repo.status()["conflicts"] == n
     repo.resolve_conflict("Many", "7", "2")
     assert repo.open_conflicts().count() == n - 1 and repo.open_conflicts().filter("ref_name = '7'").count() == 0
     with pytest.raises(ConflictError):
         repo.commit("no")
+
+
+def test_values_of_several_lines_and_arrays(repo, spark):
+    odd = "a\nb\tc\\n d\r\\"
+    d = spark.createDataFrame([("x", odd, [1, 2, None], [])], "fid string, t string, a array<int>, e array<double>")
+    repo.insert("Odd", d, "fid", {"t": "STRING", "a": "INTEGER_ARRAY", "e": "DOUBLE_ARRAY"})
+    f = repo.features("Odd", "WORK_HEAD")
+    assert f.first()["attributes"][0]["value"] == odd
+    out = tables.export_features(f, [("t", "STRING"), ("a", "INTEGER_ARRAY"), ("e", "DOUBLE_ARRAY")]).first()
+    assert (out["t"], out["a"], out["e"]) == (odd, [1, 2, None], [])
+
+
+def test_merge_of_trees(repo):
+    repo.branch_create("b", checkout=True)
+    put(repo, [("Lines.1", "l", 1, "POINT (5 5)")], "Lines/deep")
+    repo.commit("tree", when=2, all=True)
+    repo.branch_create("c", "HEAD~1", checkout=True)
+    put(repo, [("Other.1", "l", 1, "POINT (5 5)")], "Other")
+    repo.commit("other", when=3, all=True)
+    repo.checkout("master")
+    put(repo, [POINTS[2]])
+    before = repo.commit("third", when=4, all=True)
+    assert not repo.check_merge("b", "c")
+    repo.merge("b", "c")
+    assert len(repo.commits()[repo.head]["parents"]) == 3
+    assert {r[0] for r in rows(repo.nodes().filter("ref_type = 'TREE'").select("ref_name"))} == {"Points", "Lines", "deep", "Other"}
+    # one side drops a tree, the other adds to it
+    repo.reset(before, "HARD")
+    repo.branch_create("d", checkout=True)
+    repo.delete("Points")
+    repo.commit("no points", when=5, all=True)
+    repo.checkout("master")
+    put(repo, [("Points.4", "new", 4, "POINT (4 4)")])
+    repo.commit("more points", when=6, all=True)
+    with pytest.raises(ConflictError):
+        repo.merge("d", message="both")
+    assert [(c["parent_path"], c["ref_name"]) for c in repo.conflicts()] == [("", "Points")] and repo.merge_message() == "both"
+    repo.checkout_side("Points", "ours")
+    at = repo.commit(when=7)
+    assert repo.commits()[at]["message"] == "both"
+    assert "Points.4" in names(repo)
+
+
+def test_geometries_are_merged_by_coordinate(repo):
+    put(repo, [("L", "x", 1, "LINESTRING (0 0, 1 1, 2 2, 3 3)")])
+    repo.commit("line", when=2, all=True)
+    repo.branch_create("b", checkout=True)
+    put(repo, [("L", "x", 1, "LINESTRING (0 9, 1 1, 2 2, 3 3)")])
+    repo.commit("start", when=3, all=True)
+    repo.checkout("master")
+    put(repo, [("L", "x", 1, "LINESTRING (0 0, 1 1, 2 2, 8 3)")])
+    repo.commit("end", when=4, all=True)
+    repo.merge("b")
+    f = repo.features("Points").filter("ref_name = 'L'").first()
+    assert f["attributes"][2]["value"] == "LINESTRING (0 9, 1 1, 2 2, 8 3)" and (f["maxx"], f["maxy"]) == (8.0, 9.0)
+
+
+def test_continue_skip_abort(repo):
+    repo.branch_create("b", checkout=True)
+    put(repo, [("Points.1", "b", 1, "POINT (1 1)")])
+    repo.commit("theirs", when=2, all=True)
+    repo.checkout("master")
+    put(repo, [("Points.1", "m", 2, "POINT (1 1)")])
+    repo.commit("clash", when=3, all=True)
+    put(repo, [POINTS[2]])
+    orig = repo.commit("fine", when=4, all=True)
+    for end in ("abort", "skip", "continue_"):
+        with pytest.raises(ConflictError):
+            repo.rebase("b")
+        if end == "continue_":
+            with pytest.raises(ConflictError):
+                repo.continue_()
+            repo.resolve_conflict("Points", "Points.1", repo.conflicts()[0]["theirs"])
+        getattr(repo, end)()
+        said = [c["message"] for c in repo.log(topological=True)]
+        assert said == {"abort": ["fine", "clash", "first"], "skip": ["fine", "theirs", "first"], "continue_": ["fine", "clash", "theirs", "first"]}[end]
+        if end != "continue_":
+            repo.reset(orig, "HARD")
+    assert not repo.open_conflicts().count()
+    repo.squash("b", "two", "HEAD~1")
+    assert [c["message"] for c in repo.log(topological=True)] == ["fine", "two", "theirs", "first"]
+    assert [c["message"] for c in repo.log(paths=["Points/Points.3"])] == ["fine"] and len(repo.log(author="A", skip=1, limit=2)) == 2
+    assert repo.ref_parse("b") == "refs/heads/b" and repo.resolve("HEAD^{tree}") == repo.tree_of("HEAD") and repo.resolve("HEAD:Points/Points.3") == repo.node("Points/Points.3")["object_id"]
+
+
+def test_shallow_clone_and_specs(repo, spark, tmp_path):
+    put(repo, POINTS[2:])
+    repo.commit("second", when=2, all=True)
+    other = Repo.clone(spark, repo.path, str(tmp_path / "s"), depth=1)
+    assert other.is_shallow and len(other.log()) == 1 and names(other) == names(repo)
+    assert other.ls_remote() == {"refs/heads/master": repo.head}
+    other.push(spec="master:copy")
+    assert repo.branches() == ["copy", "master"]
+    other.push(spec=":copy")
+    assert repo.branches() == ["master"] and other.fetch(specs=["refs/heads/*:refs/x/*"]) == {"refs/x/master": (None, repo.head)}
+    repo.branch_create("alone", orphan=True)
+    assert repo.head is None and repo.commit("root", when=9) and repo.commits()[repo.head]["parents"] == []

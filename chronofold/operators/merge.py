@@ -57,10 +57,10 @@ def classify(ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list
     )
     if not trees:
         return out.drop("ref_type")
-    hit = subtree_conflicts(out, keys).select(*keys, "removed").distinct()
-    path = full_path("parent_path", "ref_name")
-    fought = out.filter("ref_type = 'TREE'").join(hit, [out[k].eqNullSafe(hit[k]) for k in keys] + [path == hit["removed"]], "left")
-    settled = fought.select(*[out[c] for c in at], "ref_type", F.when(F.col("removed").isNotNull(), "conflict").otherwise(F.col("merge_class")).alias("merge_class"), *VERSIONS)
+    hit = subtree_conflicts(out, keys).select(*[F.col(k).alias("_hit_" + k) for k in keys], "removed").distinct()
+    on = [F.col(k).eqNullSafe(F.col("_hit_" + k)) for k in keys] + [full_path("parent_path", "ref_name") == F.col("removed")]
+    fought = out.filter("ref_type = 'TREE'").join(hit, on, "left")
+    settled = fought.select(*at, "ref_type", F.when(F.col("removed").isNotNull(), "conflict").otherwise(F.col("merge_class")).alias("merge_class"), *VERSIONS)
     return out.filter("ref_type <> 'TREE'").unionByName(settled)
 
 
@@ -141,8 +141,8 @@ def subtree_conflicts(classified: DataFrame, keys: list[str]) -> DataFrame:
     gone = alone.filter("ref_type = 'TREE' and (ours is null or theirs is null) and ancestor is not null").select(*keys, path.alias("removed"), F.col("merge_class").alias("by"))
     kept = F.when(F.col("merge_class") == "ours", F.col("ours")).otherwise(F.col("theirs")).isNotNull()
     below = alone.filter(kept & (F.coalesce("parent_path", F.lit("")) != "")).select(*keys, path.alias("path"), "merge_class", F.explode(ancestor_paths("parent_path")).alias("_above"))
-    g = gone.select(*[F.col(k).alias("_" + k) for k in keys], "removed", "by")
-    on = [below[k].eqNullSafe(g["_" + k]) for k in keys] + [below["_above"] == g["removed"], below["merge_class"] != g["by"]]
+    g = gone.select(*[F.col(k).alias("_gone_" + k) for k in keys], "removed", "by")
+    on = [F.col(k).eqNullSafe(F.col("_gone_" + k)) for k in keys] + [F.col("_above") == F.col("removed"), F.col("merge_class") != F.col("by")]
     return below.join(g, on).select(*keys, "removed", "path")
 
 

@@ -59,20 +59,41 @@ def thin(features: DataFrame, size: float, keys: list[str] | None = None) -> Dat
     return first.select(*(keys or []), "cell_x", "cell_y", *[f"x.{c}" for c in lead], "n_in_cell")
 
 
-def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs of features whose bounds meet, ``a_*`` and ``b_*``: an equi-join on grid cells with an exact residual.
+#: A box goes to cells of the smallest level in which it covers at most so many in each direction.
+SPAN = 2
 
-    A box is put in every cell it covers; a pair is reported in the cell of the lower-left corner of its
-    intersection only, so it comes once. ``size`` should be about that of the boxes.
+
+def box_join(a: DataFrame, b: DataFrame, size: float, keys: list[str] | None = None, levels: int = 24) -> DataFrame:
+    """Pairs of features (with equal ``keys``) whose bounds meet, ``a_*`` and ``b_*``: an equi-join on grid cells with an exact residual.
+
+    Grids double in size from level to level, the first with cells of ``size``. A box belongs to the first level in which
+    it covers at most ``SPAN`` cells in each direction, or the last, so a large box has as few rows as a small one; it also
+    visits the cells of the coarser levels that hold it, and the other side those that boxes of theirs belong to: of any
+    two boxes, one meets the other at the coarser one's level. A pair is reported in the cell of the lower-left corner of its
+    intersection only, so it comes once.
     """
-    def gridded(d: DataFrame, p: str) -> DataFrame:
-        c = lambda n: F.floor(F.col(n) / size)
-        whole = d.filter("minx is not null and maxx is not null and miny is not null and maxy is not null")
-        return whole.select(
-            *[F.col(n).alias(p + n) for n in d.columns], F.explode(F.sequence(c("minx"), c("maxx"))).alias("gx"), c("miny").alias("_lo"), c("maxy").alias("_hi")
-        ).select("*", F.explode(F.sequence("_lo", "_hi")).alias("gy")).drop("_lo", "_hi")
+    keys = list(keys or [])
+    used = sorted(r["l"] for r in _levels(a, size, levels).select("l").union(_levels(b, size, levels).select("l")).distinct().collect())
 
-    j = gridded(a, "a_").join(gridded(b, "b_"), ["gx", "gy"])
+    def gridded(d: DataFrame, p: str) -> DataFrame:
+        own = _levels(d, size, levels).select(*[F.col(n).alias(p + n) for n in d.columns], F.col("l").alias(p + "l"))
+        at = F.explode(F.filter(F.array(*[F.lit(u) for u in used] or [F.lit(0)]), lambda u: u >= F.col(p + "l"))).alias("l")
+        cell = lambda n: F.floor(F.col(p + n) / (F.lit(size) * F.pow(F.lit(2.0), F.col("l"))))
+        rows = own.select("*", at).select("*", F.explode(F.sequence(cell("minx"), cell("maxx"))).alias("gx"))
+        return rows.select("*", F.explode(F.sequence(cell("miny"), cell("maxy"))).alias("gy"))
+
+    x = gridded(a, "a_").withColumns({"_" + k: F.col("a_" + k) for k in keys})
+    y = gridded(b, "b_").withColumns({"_" + k: F.col("b_" + k) for k in keys})
+    j = x.join(y, ["l", "gx", "gy", *["_" + k for k in keys]]).filter(F.col("l") == F.greatest("a_l", "b_l"))
     meet = (F.col("a_minx") <= F.col("b_maxx")) & (F.col("a_maxx") >= F.col("b_minx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("a_maxy") >= F.col("b_miny"))
-    corner = (F.floor(F.greatest("a_minx", "b_minx") / size) == F.col("gx")) & (F.floor(F.greatest("a_miny", "b_miny") / size) == F.col("gy"))
-    return j.filter(meet & corner).drop("gx", "gy")
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("l"))
+    corner = (F.floor(F.greatest("a_minx", "b_minx") / width) == F.col("gx")) & (F.floor(F.greatest("a_miny", "b_miny") / width) == F.col("gy"))
+    return j.filter(meet & corner).drop("l", "gx", "gy", "a_l", "b_l", *["_" + k for k in keys])
+
+
+def _levels(d: DataFrame, size: float, levels: int) -> DataFrame:
+    """``d``'s rows with bounds and ``l``, the grid level of each."""
+    whole = d.filter("minx is not null and maxx is not null and miny is not null and maxy is not null")
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    level = F.ceil(F.log2(F.greatest(side / F.lit(size * (SPAN - 1)), F.lit(1.0)))).cast("int")
+    return whole.withColumn("l", F.least(level, F.lit(levels - 1)))

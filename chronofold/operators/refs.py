@@ -15,17 +15,17 @@ NAMESPACES = ["refs/heads/", "refs/tags/", "refs/remotes/"]
 def resolve_short(refs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``short name target n_matches``: the ref each short name stands for.
 
-    ``refs`` has ``name`` and ``target``, ``wanted`` has ``short``. A full name wins, then heads, tags and
-    remotes in turn; several matches in the winning namespace leave ``name`` null, with their number.
+    ``refs`` has ``name`` and ``target``, ``wanted`` has ``short``. A full name wins, then names that end in a slash and the
+    short name, of any number of parts, among heads, tags and remotes in turn; several matches in the winning namespace leave ``name`` null, with their number.
     """
     rank = F.when(F.col("full"), 0)
     for i, ns in enumerate(NAMESPACES, 1):
         rank = rank.when(F.col("name").startswith(ns), i)
-    keys = refs.select("name", "target", F.explode(F.array(
-        F.struct(F.col("name").alias("short"), F.lit(True).alias("full")),
-        F.struct(F.regexp_replace("name", "^refs/(heads|tags|remotes)/", "").alias("short"), F.lit(False).alias("full")),
-        F.struct(F.substring_index("name", "/", -1).alias("short"), F.lit(False).alias("full")),
-    )).alias("k")).select("name", "target", "k.short", "k.full").withColumn("rank", rank).dropna(subset=["rank"])
+    parts = F.split("name", "/")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.struct(F.concat_ws("/", F.slice(parts, n, F.size(parts))).alias("short"), F.lit(False).alias("full")))
+    full = F.array(F.struct(F.col("name").alias("short"), F.lit(True).alias("full")))
+    keys = refs.select("name", "target", F.explode(F.concat(full, F.when(F.size(parts) > 1, ends).otherwise(F.slice(full, 1, 0)))).alias("k"))
+    keys = keys.select("name", "target", "k.short", "k.full").withColumn("rank", rank).dropna(subset=["rank"])
     best = keys.groupBy("short", "rank").agg(F.min("name").alias("name"), F.min_by("target", "name").alias("target"), F.count_distinct("name").alias("n_matches"))
     first = best.groupBy("short").agg(F.min_by(F.struct("name", "target", "n_matches"), "rank").alias("x"))
     found = first.select("short", F.when(F.col("x.n_matches") == 1, F.col("x.name")).alias("name"), F.when(F.col("x.n_matches") == 1, F.col("x.target")).alias("target"), "x.n_matches")

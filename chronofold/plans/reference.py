@@ -111,9 +111,10 @@ def _page(s: _Store) -> DataFrame:
 
 
 def _box_join(s: _Store) -> DataFrame:
+    """Lines whose polygons' extent meets that of another line's points."""
     f = _features(s)
-    a, b = f.filter("parent_path = 'Lines'"), f.filter("parent_path = 'Polygon'")
-    return query.box_join(a, b, 0.25).select("a_line", "a_ref_name", "b_line", "b_ref_name")
+    extents = lambda layer: query.extent(f.filter(F.col("parent_path") == layer), ["line"])
+    return query.box_join(extents("Polygon"), extents("Points"), 0.25).select("a_line", "b_line", "a_n_features", "b_n_features")
 
 
 def _log(s: _Store, **how) -> DataFrame:
@@ -171,6 +172,14 @@ def _classified(s: _Store) -> DataFrame:
     return merge.classify(first, middle, last, ["line"])
 
 
+def _classified_trees(s: _Store) -> DataFrame:
+    """The trees of a merge in which our side dropped a tree from the first snapshot, and theirs went on to the last."""
+    first, last = s.at("first", "last")
+    path = full_path("parent_path", "ref_name")
+    ours = first.filter(~F.coalesce((path == "osm") | path.startswith("osm/"), F.lit(False)))
+    return merge.classify(first, ours, last, ["line"], trees=True).filter("ref_type = 'TREE'")
+
+
 def _merged(s: _Store) -> DataFrame:
     return merge.merge_attributes(_classified(s), s.texts(), ["line"])
 
@@ -264,9 +273,35 @@ def _prefixes(s: _Store) -> DataFrame:
 
 
 def _short(s: _Store) -> DataFrame:
-    h = log.heads(s.log_commits()).select(F.regexp_replace("line", "^[^:]*:", "").alias("name"), F.substring_index("line", ":", 1).alias("repo"), F.col("commit_id").alias("target"))
-    one = h.select(F.regexp_replace("name", "^refs/(heads|tags|remotes)/", F.concat(F.lit("refs/heads/"), F.col("repo"), F.lit("/"))).alias("name"), "target")
-    return refs.resolve_short(one, one.select(F.regexp_replace("name", "^refs/heads/", "").alias("short")))
+    """Names of several parts as heads, some of them also as tags; asked for by every one of their endings."""
+    h = log.heads(s.log_commits()).select(F.regexp_replace("line", "^[^:]*:(refs/(heads|tags|remotes)/)?", "").alias("b"), F.substring_index("line", ":", 1).alias("repo"), F.col("commit_id").alias("target"))
+    heads = h.select(F.concat(F.lit("refs/heads/"), "repo", F.lit("/"), "b").alias("name"), "target")
+    names = heads.unionByName(h.groupBy(F.concat(F.lit("refs/tags/"), "b").alias("name")).agg(F.min("target").alias("target")))
+    short = F.explode(F.array("name", F.regexp_replace("name", "^refs/(heads|tags)/", ""), F.substring_index("name", "/", -1)))
+    return refs.resolve_short(names, names.select(short.alias("short")))
+
+
+def _two_edits(s: _Store) -> DataFrame:
+    """Parts as features, whose size one side edited, and whose price, line or size the other."""
+    p = s.t("part").select(F.col("p_partkey").cast("string").alias("ref_name"), "p_name", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("price"))
+    size, price = F.col("p_size"), F.col("price")
+    shape = lambda x, y: F.concat(F.lit("LINESTRING ("), x.cast("string"), F.lit(" 0, 1 1, 2 2, 3 "), y.cast("string"), F.lit(")"))
+    moved = size.between(10, 15)
+    sides = {
+        "ancestor": (size, price, shape(F.lit(0), F.lit(3))),
+        "ours": (F.when(size <= 30, size + 1).otherwise(size), price, shape(F.when(moved, 7).otherwise(0), F.lit(3))),
+        "theirs": (F.when(size.between(28, 30), size + 2).otherwise(size), F.when(size >= 20, price + 5).otherwise(price), shape(F.lit(0), F.when(moved, 9).otherwise(3))),
+    }
+    text = lambda a, b, c: F.concat_ws("\n", F.lit("FEATURE"), F.concat(F.lit("STRING\t"), "p_name"), F.concat(F.lit("INTEGER\t"), a), F.concat(F.lit("LONG\t"), b), F.concat(F.lit("LINESTRING\t"), c))
+    return p.select("ref_name", *[text(*cells).alias(k) for k, cells in sides.items()])
+
+
+def _merge_features(s: _Store) -> DataFrame:
+    p = materialize(_two_edits(s))
+    side = lambda k: p.select(F.lit("parts").alias("parent_path"), "ref_name", F.lit("FEATURE").alias("ref_type"), F.sha1(k).alias("object_id"), F.lit(None).cast("string").alias("metadata_id"))
+    texts = p.select(F.explode(F.array("ancestor", "ours", "theirs")).alias("object_text")).select(F.sha1("object_text").alias("object_id"), "object_text").distinct()
+    classes = merge.classify(side("ancestor"), side("ours"), side("theirs"))
+    return merge.merge_attributes(classes, texts).select("ref_name", "merged_text", "conflicting")
 
 
 def _kinds(s: _Store) -> DataFrame:
@@ -353,6 +388,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merge_classify": _classified,
         "merge_check": lambda s: merge.check_merge(_classified(s), ["line"]),
         "merge_attributes": _merged,
+        "merge_features": _merge_features,
+        "merge_trees": _classified_trees,
         "merge_conflicts": lambda s: merge.conflict_lines(_classified(s).filter("merge_class = 'conflict'")),
         "patch_verify": _verify,
         "patch_apply": _apply,
@@ -502,8 +539,9 @@ def oracle_sql() -> dict[str, str]:
         "query_extent": f"{base} y as (select line, count(*) as n_features, min(minx) as minx, max(maxx) as maxx, min(miny) as miny, max(maxy) as maxy from zf group by 1) select * from y",
         "query_thin": f"""{base} y as (select floor((minx + maxx) / 2 / 5)::bigint as cell_x, floor((miny + maxy) / 2 / 5)::bigint as cell_y, count(*) as n_in_cell from zf
             where minx is not null and maxx is not null and miny is not null and maxy is not null group by 1, 2) select * from y""",
-        "query_box_join": f"""{base} y as (select a.line as a_line, a.ref_name as a_ref_name, b.line as b_line, b.ref_name as b_ref_name from zf a join zf b
-            on a.minx <= b.maxx and a.maxx >= b.minx and a.miny <= b.maxy and a.maxy >= b.miny where a.parent_path = 'Lines' and b.parent_path = 'Polygon') select * from y""",
+        "query_box_join": f"""{base} k as (select line, parent_path, count(*) as n, min(minx) as minx, max(maxx) as maxx, min(miny) as miny, max(maxy) as maxy from zf group by 1, 2),
+            y as (select a.line as a_line, b.line as b_line, a.n as a_n_features, b.n as b_n_features from k a join k b
+            on a.minx <= b.maxx and a.maxx >= b.minx and a.miny <= b.maxy and a.maxy >= b.miny where a.parent_path = 'Polygon' and b.parent_path = 'Points') select * from y""",
         "log_all": f"with recursive {own}, {reach} select start, one.commit_id, committer_ts from r join one on one.commit_id = r.id",
         "log_first_parent": f"with recursive {own}, {first} select start, one.commit_id, back from b join one on one.commit_id = b.id",
         "log_since": f"""with recursive {own}, {reach}, mid as (select line, max_by(commit_id, (committer_ts, commit_id)) as id from cc where committer_ts < {AFTER} group by 1),
@@ -583,8 +621,30 @@ def oracle_sql() -> dict[str, str]:
             min(str_split(q, ' ')[-1]::double) as miny, max(str_split(q, ' ')[-1]::double) as maxy from u group by 1""",
         "resolve_prefix": f"""with i as (select distinct {norm('commit_id')} as id from commits where {norm('commit_id')} is not null), p as (select distinct substr(id, 1, 7) as prefix from i)
             select prefix, case when count(*) = 1 then min(id) end as id, count(*) as n_matches from p join i on starts_with(id, prefix) group by 1""",
-        "resolve_short_ref": f"""with {own}, nm as (select distinct 'refs/heads/' || str_split(line, ':')[1] || '/' || regexp_replace(regexp_replace(line, '^[^:]*:', ''), '^refs/(heads|tags|remotes)/', '') as name, id as target from h)
-            select substr(name, 12) as short, name, target, 1::bigint as n_matches from nm""",
+        "resolve_short_ref": f"""with {own}, p as (select str_split(line, ':')[1] as repo, regexp_replace(regexp_replace(line, '^[^:]*:', ''), '^refs/(heads|tags|remotes)/', '') as b, id as target from h),
+            nm as (select 'refs/heads/' || repo || '/' || b as name, target from p union all select 'refs/tags/' || b, min(target) from p group by 1),
+            w as (select name as short from nm union select regexp_replace(name, '^refs/(heads|tags)/', '') from nm union select str_split(name, '/')[-1] from nm),
+            m as (select short, name, target, case when name = short then 0 when starts_with(name, 'refs/heads/') then 1 else 2 end as rank from w join nm on name = short or ends_with(name, '/' || short)),
+            k as (select short, min(rank) as rank from m group by 1)
+            select short, case when count(*) = 1 then min(name) end as name, case when count(*) = 1 then min(target) end as target, count(*) as n_matches from m join k using (short, rank) group by short""",
+        "merge_features": """with e as (select *, round(p_retailprice * 100)::bigint as price, p_size between 10 and 15 as moved from part)
+            select p_partkey::varchar as ref_name, 'FEATURE' || chr(10) || 'STRING' || chr(9) || p_name || chr(10) || 'INTEGER' || chr(9) || (p_size + 1) || chr(10) || 'LONG' || chr(9)
+            || case when p_size >= 20 then price + 5 else price end || chr(10) || 'LINESTRING' || chr(9) || case when moved then 'LINESTRING (7 0, 1 1, 2 2, 3 9)' else 'LINESTRING (0 0, 1 1, 2 2, 3 3)' end as merged_text,
+            p_size >= 28 as conflicting from e where p_size <= 30 and (p_size >= 20 or moved)""",
+        "merge_trees": f"""{base} mx as (select * from a0 where not coalesce({full} = 'osm' or starts_with({full}, 'osm/'), false)), a as (select * from a0 where ref_type = 'TREE'), m as (select * from mx where ref_type = 'TREE'), z as (select * from z0 where ref_type = 'TREE'),
+            k as (select line, parent_path, ref_name from a union select line, parent_path, ref_name from m union select line, parent_path, ref_name from z),
+            v as (select k.*, a.line is not null as ha, m.line is not null as ho, z.line is not null as ht, coalesce(a.metadata_id, '{'0' * 40}') as ka, coalesce(m.metadata_id, '{'0' * 40}') as ko, coalesce(z.metadata_id, '{'0' * 40}') as kt
+            from k left join a using (line, parent_path, ref_name) left join m using (line, parent_path, ref_name) left join z using (line, parent_path, ref_name)),
+            u as (select *, case when ha then ka end as ancestor, case when ho then ko end as ours, case when ht then kt end as theirs, {full} as path from v),
+            g as (select *, ours is distinct from ancestor as co, theirs is distinct from ancestor as ct from u),
+            eo as (select f.line, f.parent_path from mx f left join a0 using (line, parent_path, ref_name) left join z0 on z0.line = f.line and z0.parent_path = f.parent_path and z0.ref_name = f.ref_name
+                where f.ref_type = 'FEATURE' and f.object_id is distinct from a0.object_id and z0.object_id is not distinct from a0.object_id),
+            et as (select f.line, f.parent_path from z0 f left join a0 using (line, parent_path, ref_name) left join mx on mx.line = f.line and mx.parent_path = f.parent_path and mx.ref_name = f.ref_name
+                where f.ref_type = 'FEATURE' and f.object_id is distinct from a0.object_id and mx.object_id is not distinct from a0.object_id),
+            r as (select g.*, (co and not ct and ha and not ho and exists (select 1 from et where et.line = g.line and (et.parent_path = path or starts_with(et.parent_path, path || '/'))))
+                or (ct and not co and ha and not ht and exists (select 1 from eo where eo.line = g.line and (eo.parent_path = path or starts_with(eo.parent_path, path || '/')))) as fought from g where co or ct)
+            select line, parent_path, ref_name, 'TREE' as ref_type, case when fought then 'conflict' when not ct then 'ours' when not co then 'theirs' when ours is not distinct from theirs then 'same' else 'conflict' end as merge_class,
+            ancestor, ours, theirs from r""",
         "object_kinds": f"""with v as (select {norm('id')} as id, kind, put_seq from objects union all select {norm('id')}, kind, -1 from base_objects) select id, min_by(kind, put_seq) as kind from v where id is not null group by 1""",
     }
     return sql

@@ -32,6 +32,12 @@ def read_jdbc(spark: SparkSession, table: str, options: dict[str, str], key: str
     return r.load()
 
 
+def write_jdbc(table: DataFrame, name: str, options: dict[str, str], overwrite: bool = False, partitions: int | None = None) -> None:
+    """Write a table to a database, by at most ``partitions`` connections; an existing table is an error unless ``overwrite``."""
+    out = table.coalesce(partitions) if partitions else table
+    out.write.format("jdbc").options(**options).option("dbtable", name).mode("overwrite" if overwrite else "errorifexists").save()
+
+
 def list_tables(spark: SparkSession, kind: str, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).option("query", TABLES[kind]).load()
 

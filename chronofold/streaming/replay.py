@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +15,13 @@ from ..repo import Repo
 def replay(stream: DataFrame, repo: Repo, path: str, fid: str, kinds: dict[str, str], geometry: str | None, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Apply a stream of features to a repository's tree, one commit for each micro-batch that changes it.
 
-    The number of the last batch applied is kept with the commit's message, so a batch that comes again after a
-    failure is passed over.
+    The number of the last batch applied is in the message of its commit, so a batch that comes again after a failure
+    is passed over: a batch is done exactly if its commit is. Each tree has numbers of its own.
     """
-    marks = os.path.join(repo.path, "replay.json")
 
     def apply(batch: DataFrame, number: int) -> None:
-        done = json.load(open(marks)).get(path, -1) if os.path.exists(marks) else -1
+        said = re.compile(rf"batch (\d+) of {re.escape(path)}")
+        done = max((int(m.group(1)) for c in repo.log() if (m := said.fullmatch(c["message"]))), default=-1)
         if number <= done or batch.isEmpty():
             return
         repo.insert(path, batch, fid, kinds, geometry)
@@ -30,9 +29,6 @@ def replay(stream: DataFrame, repo: Repo, path: str, fid: str, kinds: dict[str,
             repo.commit(f"batch {number} of {path}", all=True)
         except ValueError:  # the batch says what is there already
             pass
-        with open(marks + ".new", "w") as f:
-            json.dump({path: number}, f)
-        os.replace(marks + ".new", marks)
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

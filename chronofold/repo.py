@@ -488,6 +488,42 @@ class Repo:
         of = lambda c: digests.get(known[c]["tree"]) if c in known else None
         return {c["commit_id"] for c in commits if any(of(p) != of(c["commit_id"]) for p in c["parents"] or [""])}
 
+    def blame(self, path: str, spec: str = "HEAD") -> list[tuple[int, str | None, str]]:
+        """``position, value, commit`` of every attribute of a feature: the commit that last set it, along first parents."""
+        history = self.log(spec, first_parent=True, topological=True, paths=[path])
+        trees = sorted({c["tree"] for c in history} - {EMPTY})
+        if not trees or self.node(path, spec) is None:
+            raise ValueError(f"no feature at {path}")
+        parent, _, name = path.rpartition("/")
+        rows = self.spark.read.schema(LISTING).parquet(*[self._file("trees", t) for t in trees])
+        rows = rows.filter((F.col("parent_path") == parent) & (F.col("ref_name") == name) & (F.col("ref_type") == "FEATURE"))
+        tree = F.regexp_extract(F.input_file_name(), "/trees/([^/]+)/", 1)
+        texts = rows.select(tree.alias("t"), "object_id").join(self.objects(), "object_id", "left").select("t", values.attributes("object_text").alias("a"))
+        of = {r["t"]: [(x["kind"], x["value"]) for x in r["a"] or []] for r in texts.collect()}
+        now = of.get(history[0]["tree"], [])
+        out = []
+        for i, value in enumerate(now):
+            at = history[0]["commit_id"]
+            for c in history:
+                had = of.get(c["tree"])
+                if had is None or len(had) <= i or had[i] != value:
+                    break
+                at = c["commit_id"]
+            out.append((i, value[1], at))
+        return out
+
+    def reachable(self, spec: str = "HEAD") -> DataFrame:
+        """``id kind`` of everything a commit's history reaches: commits, root trees, and what their listings name."""
+        c = self.log(spec)
+        own = [(x["commit_id"], "COMMIT") for x in c] + [(t, "TREE") for t in sorted({x["tree"] for x in c} - {EMPTY})]
+        out = self.spark.createDataFrame(own, "id string, kind string")
+        trees = [self._file("trees", t) for _, t in enumerate(sorted({x["tree"] for x in c} - {EMPTY}))]
+        if trees:
+            named = self.spark.read.schema(LISTING).parquet(*trees)
+            types = named.filter("metadata_id is not null").select(F.col("metadata_id").alias("id"), F.lit("FEATURETYPE").alias("kind"))
+            out = out.unionByName(named.select(F.col("object_id").alias("id"), F.col("ref_type").alias("kind"))).unionByName(types)
+        return out.distinct()
+
     def common_ancestor(self, a: str, b: str) -> str | None:
         """The lowest common ancestor; of several the newest."""
         known = self.commits()

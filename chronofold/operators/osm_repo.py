@@ -61,7 +61,7 @@ def stored_ways(repo: Repo, spec: str = "WORK_HEAD") -> DataFrame:
     """``id refs tags wkt`` and the other fields of a repository's ways."""
     f = repo.features("way", spec)
     cols = [_attribute(c, WAY).alias(c) for c in WAY if c not in ("tags", "nodes", "way")]
-    refs = F.transform(F.filter(F.split(F.coalesce(_attribute("nodes", WAY), F.lit("")), ";"), lambda x: x != ""), lambda x: x.cast("long"))
+    refs = F.transform(F.filter(F.split(F.coalesce(_attribute("nodes", WAY), F.lit("")), ";"), lambda x: x != ""), lambda x: x.try_cast("long"))
     return f.select(F.col("ref_name").cast("long").alias("id"), refs.alias("refs"), tagging.decode(_attribute("tags", WAY)).alias("tags"), _attribute("way", WAY).alias("wkt"), *cols)
 
 
@@ -166,20 +166,25 @@ def import_history(repo: Repo, folder: str, first: int = 1, last: int | None = N
     return made
 
 
-def export(repo: Repo, spec: str, path: str) -> None:
-    """Nodes and ways of a revision as map files of one line an entity, one whole document for each task."""
+def documents(entities: DataFrame) -> DataFrame:
+    """Lines of entities (``value``) with the beginning and end of a document around those of each task."""
 
-    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": ["<osm version=\"0.6\">"]})
         yield from batches
         yield pd.DataFrame({"value": ["</osm>"]})
 
+    return entities.select("value").mapInPandas(whole, "value string")
+
+
+def export(repo: Repo, spec: str, path: str) -> None:
+    """Nodes and ways of a revision as map files of one line an entity, one whole document for each task."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
     pairs = F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat(F.lit('<tag k="'), esc(e["key"]), F.lit('" v="'), esc(e["value"]), F.lit('"/>'))), "")
     nodes = stored_nodes(repo, spec).select(F.concat(F.lit('<node id="'), "id", F.lit('" lat="'), "y", F.lit('" lon="'), "x", F.lit('">'), pairs, F.lit("</node>")).alias("value"))
     nds = F.array_join(F.transform("refs", lambda r: F.concat(F.lit('<nd ref="'), r, F.lit('"/>'))), "")
     ways = stored_ways(repo, spec).select(F.concat(F.lit('<way id="'), "id", F.lit('">'), nds, pairs, F.lit("</way>")).alias("value"))
-    nodes.unionByName(ways).mapInPandas(document, "value string").write.mode("overwrite").text(path)
+    documents(nodes.unionByName(ways)).write.mode("overwrite").text(path)
 
 
 def mapped_export(repo: Repo, mapping: str) -> dict[str, DataFrame]:

@@ -119,8 +119,11 @@ def unmap(repo: Repo, path: str, message: str | None = None) -> int:
     names = ["id", *[n for n in rule.fields if n != "id"], *rule.defaults]
     f = repo.features(path, "WORK_HEAD")
     edited = f.select(F.col("ref_name").cast("long").alias("id"), *[F.try_element_at("attributes", F.lit(i + 1))["value"].alias(n) for i, n in enumerate(names) if n != "id"])
-    changed = 0
-    for kind, stored in (("node", stored_nodes(repo)), ("way", stored_ways(repo))):
+    changed, shapes = 0, {k for _, k in rule.fields.values() if k in osm.GEOMETRIES}
+    # nodes and ways have ids of their own: a rule's geometry tells which it took, else its filter
+    kinds = [k for k, wanted in (("node", not shapes or "POINT" in shapes), ("way", not shapes or "POINT" not in shapes)) if wanted]
+    for kind in kinds:
+        stored = materialize((stored_nodes if kind == "node" else stored_ways)(repo)).filter(rule.takes(F.col("tags")))
         new = materialize(osm.unmap(edited, rule, stored).filter("changed").drop("changed"))
         if n := new.count():
             changed += n

@@ -188,6 +188,27 @@ def _lowest_common(t: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(k.a[i], k.b[i], name) for i, c in found for name in nodes[c]], columns=["left_id", "right_id", "id"], dtype=object)
 
 
+def _passing(t: pd.DataFrame) -> pd.DataFrame:
+    """``left_id right_id``: the block's pairs with a marked node on a way from left up to right, ends included."""
+    k, found = _Block(t), []
+    for walk in k.walks():
+        reached, passed, ends = [0] * k.n, [0] * k.n, defaultdict(list)
+        for i, bit in walk:
+            reached[k.left[i]] |= bit
+            ends[k.right[i]].append((i, bit))
+        for c in range(k.n - 1, -1, -1):
+            x = reached[c]
+            if not x:
+                continue
+            y = x if c in k.marked else passed[c]
+            found += [i for i, bit in ends.get(c, ()) if y & bit]
+            for p in k.up[k.first[c] : k.first[c + 1]]:
+                reached[p] |= x
+                passed[p] |= y
+            reached[c] = passed[c] = 0
+    return pd.DataFrame([(k.a[i], k.b[i]) for i in found], columns=["left_id", "right_id"], dtype=object)
+
+
 class Graph:
     """Nodes and links with the first-parent trees worked out.
 
@@ -346,14 +367,23 @@ class Graph:
     def passes(self, pairs: DataFrame, marked: DataFrame) -> DataFrame:
         """``pair passes``: whether a way from ``left_id`` up to ``right_id`` goes through a node of ``marked``, ends included.
 
-        A marked node lies on such a way exactly if the start reaches it and it reaches the end.
+        The nodes of a loop count as marked if one is, as a way may go around it.
         """
+        pairs = pairs.select("pair", norm_id("left_id").alias("left_id"), norm_id("right_id").alias("right_id"))
         flags = marked.select(norm_id("id").alias("id")).dropna().distinct()
+        found, rest = self._by_blocks(pairs.select("left_id", "right_id").distinct(), _passing, "left_id string, right_id string", flags)
+        if rest is not None:
+            key = F.struct("left_id", "right_id").alias("pair")
+            found = found.unionByName(self._passes_by_hops(rest.select(key, "left_id", "right_id"), flags).select("pair.left_id", "pair.right_id"))
+        hit = found.withColumn("passes", F.lit(True))
+        return pairs.join(hit, ["left_id", "right_id"], "left").select("pair", F.coalesce("passes", F.lit(False)).alias("passes"))
+
+    def _passes_by_hops(self, pairs: DataFrame, flags: DataFrame) -> DataFrame:
+        """``pair`` of the pairs that pass, from all that is reached: a marked node must be reached by the start and reach the end."""
         a = self.reach(pairs.select(F.col("pair").alias("start"), F.col("left_id").alias("id"))).join(flags, "id", "left_semi")
         mid = materialize(a.select(F.col("start").alias("pair"), F.col("id").alias("mid")))
         b = self.reach(mid.select(F.col("mid").alias("start"), F.col("mid").alias("id")).distinct())
-        hit = mid.join(b, mid["mid"] == b["start"]).select("pair", "id").join(pairs.select("pair", F.col("right_id").alias("id")), ["pair", "id"]).select("pair").distinct()
-        return pairs.select("pair").join(hit.withColumn("passes", F.lit(True)), "pair", "left").select("pair", F.coalesce("passes", F.lit(False)).alias("passes"))
+        return mid.join(b, mid["mid"] == b["start"]).select("pair", "id").join(pairs.select("pair", F.col("right_id").alias("id")), ["pair", "id"]).select("pair").distinct()
 
     def first_parents(self, starts: DataFrame) -> DataFrame:
         """``start id back``: the first-parent history of each start; ``back`` counts from 0 at the start itself.

@@ -117,3 +117,19 @@ def test_connected_parts(spark, base_rows):
     got = dict(rows(graph.connected(spark.createDataFrame(links, "a long, b long"), base_rows)))
     assert set(got) == set(label)
     assert len(set(got.values())) == len(set(label.values())) == len(set(zip((got[x] for x in label), label.values())))
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_passes_of_blocks(spark, monkeypatch, sizes):
+    for k, x in sizes.items():
+        monkeypatch.setattr(graph, k, x)
+    if "WHOLE_LINKS" not in sizes:
+        monkeypatch.setattr(graph.Graph, "reach", None)
+    links, names, up = ladder(6)
+    pairs = [(a, b) for a in names[::4] for b in names[1::6]] + [("t3", "m03"), ("u1", "u1"), ("t4", "o000"), ("t0", "o004"), ("t6", "t5"), ("m09", "m00"), ("none", "t1")]
+    marked = ["o002", "m10", "t3", "t5", "u2", "gone"]
+    ids = spark.createDataFrame([(n,) for n in names], "id string")
+    g = graph.Graph(ids, spark.createDataFrame(links, "src string, dst string, ord int"))
+    df = spark.createDataFrame([(f"{a}-{b}", a, f"{b.upper()} ") for a, b in pairs], "pair string, left_id string, right_id string")
+    got = rows(g.passes(df, spark.createDataFrame([(m,) for m in marked], "id string")))
+    assert got == sorted(((f"{a}-{b}", a in names and any(m in reach(a, up) and b in reach(m, up) for m in marked)) for a, b in pairs), key=repr)
